@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import language, mixing, packing, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
+    "op5_packing": packing.op5_packing,
+    "op9_language_id": language.op9_language_id,
 }
 
 ORACLES = {"op2_url_filter": url_filter.oracle()}
