@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, url_filter
+from . import language, mixing, near_dedup, packing, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
     "op5_packing": packing.op5_packing,
