@@ -36,6 +36,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """Apply ``fn(frame, starts)`` to batches of whole groups; ``starts`` are the rows at which groups begin, and the end.
+
+    For many small groups: it deals rows by key and sorts them, so a batch holds thousands of groups, where
+    ``applyInPandas`` would build a frame for each. A group is held whole, so callers bound its size.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        def bounds(frame):
+            change = np.zeros(len(frame), bool)
+            change[0] = True
+            for k in keys:
+                v = frame[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            return np.flatnonzero(change)
+
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            starts = bounds(frame)
+            last = starts[-1]
+            held = frame.iloc[last:].reset_index(drop=True)
+            if last:
+                yield fn(frame.iloc[:last], starts)
+        if held is not None:
+            yield fn(held, np.array([0, len(held)]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node in ``edges(a, b)``: columns ``node, component``.
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from . import language, mixing, near_dedup, packing, url_filter
+from . import ann, embed_dedup, language, mixing, near_dedup, packing, pii, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
+    "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
+    "op6_nearest": ann.op6_nearest,
+    "op7_pii": pii.op7_pii,
+    "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
     "op9_language_id": language.op9_language_id,
 }
 
-ORACLES = {"op2_url_filter": url_filter.oracle()}
+ORACLES = {
+    "op2_url_filter": url_filter.oracle(),
+    "op4_warc": warc.ORACLE,
+    "op6_nearest": ann.ORACLE,
+    "op8_embedding_dedup": embed_dedup.ORACLE,
+}
