@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, language, mixing, near_dedup, packing, pii, url_filter, warc
+from . import ann, embed_dedup, language, mixing, near_dedup, packing, pii, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_embedding_dedup": embed_dedup.op8_embedding_dedup,
     "op9_language_id": language.op9_language_id,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
