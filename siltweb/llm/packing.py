@@ -27,7 +27,19 @@ class Packing:
     bins_per_task: int = 50_000
     tokenizer: str = "word_bpe_49k.json"
     end_id: int = 1
-    cached_words: int = 400_000
+    cached_words: int = 500_000
+
+
+class _Filled(dict):
+    """Values made by a function when they are first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 class WordEncoder:
@@ -50,40 +62,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.model, self.limit = self.tokenizer.model, limit
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words, self.pieces = _Filled(self._word), _Filled(self._piece)
         # The pattern in the tokenizer's file.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.byte = {b: chr(b if b in set(printable) else next(rest)) for b in range(256)}
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() and piece.isprintable() else "".join(self.byte[b] for b in piece.encode())
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
-        return ids
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else "".join([self.byte[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if self._direct.search(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return [i for p in self.split(unicodedata.normalize("NFC", word).lower()) for i in self._piece(p)]
+            return self._whole(word)
+        pieces = self.pieces
+        return b"".join([pieces[p] for p in self.split((word if word.isascii() else unicodedata.normalize("NFC", word)).lower())])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
         if self._odd.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        known, out = self.words, []
-        for w in text.split():
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = self._word(w)
-            out += ids
-        return out
+            return self._whole(text)
+        for known in (self.words, self.pieces):
+            if len(known) > self.limit:
+                known.clear()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def best_fit(sizes: Iterable[int], capacity: int) -> list[tuple[int, int]]:
@@ -112,12 +118,10 @@ def best_fit(sizes: Iterable[int], capacity: int) -> list[tuple[int, int]]:
 
 def _pack_partition(how: Packing):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, rows = WordEncoder(how.tokenizer, how.cached_words), []
+        encoder, rows, end = WordEncoder(how.tokenizer, how.cached_words), [], how.end_id.to_bytes(4, "little")
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-                ids = encoder.encode(text) if isinstance(text, str) else []
-                ids.append(how.end_id)
-                ids = np.array(ids, "<u4")
+                ids = np.frombuffer((encoder.encode(text) if isinstance(text, str) else b"") + end, "<u4")
                 for k, start in enumerate(range(0, len(ids), how.capacity)):
                     part = ids[start : start + how.capacity]
                     rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
