@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import content, web
+
+QUERIES: dict = web.QUERIES | content.QUERIES
+ORACLES: dict = web.ORACLES | content.ORACLES
