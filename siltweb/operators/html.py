@@ -27,6 +27,10 @@ BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "div", "art
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+#: Where an element that is never closed ends.
+OPEN_END = 2**31 - 1
+
+
 def decode_entities(c: Column) -> Column:
     for name, value in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(value))
@@ -55,7 +59,8 @@ def nodes(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy("pos")
     depth = F.sum(F.when(F.col("kind") == "open", 1).otherwise(-1)).over(w)
     level = strict.withColumn("depth", depth + F.when(F.col("kind") == "close", 1).otherwise(0))
-    ended = level.withColumn("post", F.lead("pos").over(Window.partitionBy("page_id", "depth").orderBy("pos"))).where("kind = 'open'")
+    close = F.lead("pos").over(Window.partitionBy("page_id", "depth").orderBy("pos"))
+    ended = level.withColumn("post", F.coalesce(close, F.lit(OPEN_END))).where("kind = 'open'")
     own = ended.select("page_id", F.col("depth").alias("level"), "pos", F.lit(True).alias("above"), "post", "depth", "tag", "token")
     below = ended.select("page_id", (F.col("depth") - 1).alias("level"), "pos", F.lit(False).alias("above"), "post", "depth", "tag", "token")
     up = Window.partitionBy("page_id", "level").orderBy("pos", F.desc("above"))

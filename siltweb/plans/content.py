@@ -60,7 +60,7 @@ lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) tag from tok)"""
 _list = lambda names: ", ".join(f"'{n}'" for n in names)
 _NODES = f"""{_TOKENS}, strict as (select * from t where kind in ('open', 'close') and tag <> '' and tag not in ({_list(html.VOID + html.LOOSE)})),
 d as (select *, sum(case when kind = 'open' then 1 else -1 end) over (partition by page_id order by pos) + case when kind = 'close' then 1 else 0 end depth from strict),
-e as (select *, lead(pos) over (partition by page_id, depth order by pos) post from d),
+e as (select *, coalesce(lead(pos) over (partition by page_id, depth order by pos), {html.OPEN_END}) post from d),
 nodes as (select page_id, pos pre, post, cast(depth as bigint) depth, tag, token from e where kind = 'open')"""
 
 

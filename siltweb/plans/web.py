@@ -213,8 +213,8 @@ def crawl_delay_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with recursive r as (select page_id src, page_id - 1 dst from pages where page_id % 14 <> 0),
-c(url, at, hops) as (select page_id, page_id, 0 from pages union all select url, dst, hops + 1 from c join r on at = src where hops <= 10)
-select url, case when max(hops) <= 10 then min(at) end final, case when max(hops) <= 10 then cast(max(hops) as int) end hops, case when max(hops) > 10 then 'redirect_limit' end error from c group by url""")
+c(url, place, hops) as (select page_id, page_id, 0 from pages union all select url, dst, hops + 1 from c join r on place = src where hops <= 10)
+select url, case when max(hops) <= 10 then min(place) end final, case when max(hops) <= 10 then cast(max(hops) as int) end hops, case when max(hops) > 10 then 'redirect_limit' end error from c group by url""")
 def redirect_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     moved = pages.where("page_id % 14 <> 0").select(F.col("page_id").alias("src"), (F.col("page_id") - 1).alias("dst"))
