@@ -58,7 +58,7 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
     """
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
-    w = materialize(cells.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))), "cells")
+    w = materialize(cells.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), F.lit(0.0))), "cells")
     aims = {}
     for d, c in zip(DIMENSIONS, CELL):
         own = w.where("tokens > 0").groupBy(c).agg(F.sum("weight").alias("own"))
@@ -68,7 +68,7 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
         else:
             own = own.withColumn("aim", F.pow("own", F.lit(how.temper)))
         norm = own.agg(F.sum("aim").alias("norm"))
-        aims[c] = materialize(own.crossJoin(F.broadcast(norm)).select(c, (F.col("aim") / F.col("norm")).alias("aim")), "aims")
+        aims[c] = materialize(own.crossJoin(F.broadcast(norm)).select(c, F.coalesce(F.try_divide("aim", "norm"), F.lit(0.0)).alias("aim")), "aims")
     for k in range(how.sweeps):
         for i, c in enumerate(CELL):
             now = w.groupBy(c).agg(F.sum("weight").alias("now"))

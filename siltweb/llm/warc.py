@@ -274,7 +274,7 @@ class WarcReader(DataSourceReader):
                 held, size = [], 0
             held.append(path)
             size += found[path]
-        return [*out, Files(held)] if held else out
+        return [*out, Files(held)]
 
     def _wanted(self, headers: dict[str, str]) -> bool:
         return all(h in headers and (not values or headers[h] in values) for h, values in self.equal) and all(headers.get(h, "").startswith(p) and h in headers for h, p in self.prefixes)
