@@ -78,8 +78,8 @@ def xpath_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_NODES}, a as (select n.page_id, n.pre, {_clean("string_agg(" + _entities("t.token") + ", ' ' order by t.pos)")} txt from nodes n join t on t.page_id = n.page_id and t.pos > n.pre and t.pos < n.post and t.kind = 'text' where n.tag = 'a' group by 1, 2),
-s as (select page_id, pre, least(1.0, 0.2 + 0.0 + 0.0 + 0.0 + case when starts_with(txt, 'the') then 0.35 else 0.0 end) score from a)
-select page_id, 'menu' as name, min(pre) pre, score from s where score >= 0.5 and score = (select max(score) from s z where z.page_id = s.page_id) group by page_id, score""")
+s as (select page_id, pre, least(1e0, 2e-1 + case when starts_with(txt, 'the') then 35e-2 else 0e0 end) score from a)
+select page_id, 'menu' as name, min(pre) pre, score from s where score >= 5e-1 and score = (select max(score) from s z where z.page_id = s.page_id) group by page_id, score""")
 def fingerprint_refind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each page, the link most like a remembered one, whose text began with `the`."""
     pages = table(spark, sf_dir, "pages")

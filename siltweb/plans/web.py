@@ -174,7 +174,7 @@ def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.decide(asked, rules, F.col("path")).select("page_id", "origin", "allowed")
 
 
-@query(f"with {_parts('select page_id, url from pages')} select distinct origin, case length(origin) % 3 when 0 then 2.0 when 1 then 0.5 end delay from canon where length(origin) % 3 < 2")
+@query(f"with {_parts('select page_id, url from pages')} select distinct origin, cast(case length(origin) % 3 when 0 then 2.0 when 1 then 0.5 end as double) delay from canon where length(origin) % 3 < 2")
 def robots_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = robots.parse(robots_texts(table(spark, sf_dir, "pages")), "siltweb/1.0")
     return rules.where("delay is not null").select("origin", "delay")
@@ -249,7 +249,7 @@ def hits_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with h as (select conv_id, turn, length(text) size, row_number() over (partition by conv_id order by turn) - 1 place, count(*) over (partition by conv_id) n from conversations)
-select conv_id, turn, 1000 // n + case when place < 1000 % n then 1 else 0 end budget, sum(size) over (partition by conv_id order by turn rows unbounded preceding) used,
+select conv_id, turn, 1000 // n + case when place < 1000 % n then 1 else 0 end budget, cast(sum(size) over (partition by conv_id order by turn rows unbounded preceding) as bigint) used,
 sum(size) over (partition by conv_id order by turn rows unbounded preceding) <= 3000 fits, sum(size) over (partition by conv_id) <= 3000 group_fits from h""")
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))

@@ -36,4 +36,4 @@ def polite_starts(requests: DataFrame, delay_ms: int) -> DataFrame:
 
 def counts_by_window(events: DataFrame, length: str, late: str) -> DataFrame:
     """Events by type in tumbling windows, closed once the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
