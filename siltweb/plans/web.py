@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import policy, text, urls
-from ..operators import crawl, hits, links, robots
+from ..functions import policy, responses, text, urls
+from ..operators import crawl, hits, links, research, robots, search_pages
 from ..storage import table
 
 QUERIES: dict = {}
@@ -303,3 +303,49 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("conv_id", F.concat(F.lit("# Report "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.col("body")).alias("report"), (F.length("body") <= 1_000_000).alias("bounded"))
 
 
+
+
+@query("""select page_id, case page_id % 5 when 0 then null when 3 then 'rate_limited' when 4 then case when page_id % 2 = 0 then 'rate_limited' else 'http_status' end when 2 then 'login_required' else 'http_status' end error,
+case when page_id % 3 = 0 then page_id % 40 end retry_after_secs, cast(1 as bigint) kept_headers from pages""")
+def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses, headers and bodies by the page's number: errors, rate limits and the headers that a redirect keeps."""
+    p = F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, (200, 500, 401, 429, 403))), (p % 5 + 1).cast("int"))
+    retry = F.when(p % 3 == 0, (p % 40).cast("string")).otherwise("-1")
+    headers = F.create_map(F.lit("Retry-After"), retry, F.lit("Cookie"), F.lit("x"), F.lit("AUTHORIZATION"), F.lit("y"))
+    body = F.when(p % 2 == 0, '{"message":"API Rate Limit exceeded"}').otherwise("not json")
+    limits = responses.rate_limit(headers)
+    kept = F.size(responses.without_sensitive(headers)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", responses.repository_error(status, limits["remaining"], body).alias("error"), limits["retry_after_secs"].alias("retry_after_secs"), kept.alias("kept_headers"))
+
+
+_TITLED = f"{_RESOLVED}, k as (select page_id, ordinal, href, target, 'T & ' || substr(href, 2) title from resolved where ordinal < 3)"
+
+
+@query(f"""{_TITLED} select page_id, case when page_id % 7 = 0 then 'empty' when page_id % 7 = 1 then 'layout' else 'ok' end status, cast(case when page_id % 7 > 1 then ordinal end as int) ordinal,
+case when page_id % 7 > 1 then title end title, case when page_id % 7 > 1 then target end url, case when page_id % 7 > 1 then 's ' || ordinal end snippet from k where page_id % 7 > 1 or ordinal = 0""")
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's first links written as a result page and parsed back; some pages have no results, some an unknown layout."""
+    found = links_extract(spark, sf_dir).where("ordinal < 3")
+    title = F.concat(F.lit("T &amp; "), F.substring("href", 2, 1 << 20))
+    wrapped = F.concat(F.lit("//d/l/?x=1&amp;uddg="), F.url_encode("target"))
+    hit = F.concat(F.lit('<div class="result x"><a rel="n" href="'), wrapped, F.lit('"><b>'), title, F.lit('</b></a><span class="result__snippet">s '), F.col("ordinal").cast("string"), F.lit("</span></div>"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", hit.alias("h")))), lambda s: s["h"]), "")
+    body = F.when(F.col("page_id") % 7 == 0, "<p>No results.</p>").when(F.col("page_id") % 7 == 1, "<p>?</p>").otherwise(F.col("whole"))
+    pages = found.groupBy("page_id").agg(whole.alias("whole")).select("page_id", body.alias("body"))
+    return search_pages.results(pages, "page_id", "body", search_pages.DUCKDUCKGO)
+
+
+@query(rf"""{_RESOLVED}, h as (select page_id query, cast(row_number() over (partition by page_id order by ordinal) as int) rank, href title, target url from resolved),
+n as (select query, max(rank) n from h group by query),
+picked as (select h.query, case when n >= 3 then case rank when 3 then 0 when 1 then 1 end else rank - 1 end place, title, url from h join n on h.query = n.query where case when n >= 3 then rank in (1, 3) else rank <= 5 end),
+e as (select query, place, regexp_replace(title, '([\\`*_{{}}\[\]()#+\-.!|~])', '\\\1', 'g') t, url from picked)
+select query, '# ' || query || chr(10) || chr(10) || string_agg('- [' || t || '](' || url || ')', chr(10) order by place) as report, count(*) <= 5 as valid from e group by query""")
+def investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's links as hits, chosen by a fixed answer (`3, 1`) and reported."""
+    found = links_extract(spark, sf_dir).select(F.col("page_id").alias("query"), "ordinal", F.col("href").alias("title"), F.col("target").alias("url"))
+    ranked = research.numbered(found, F.col("ordinal"))
+    three = ranked.groupBy("query").agg(F.max("rank").alias("n")).where("n >= 3").select("query")
+    some = research.choose(ranked.join(three, "query", "left_semi"), lambda block: F.lit("3, 1"))
+    rest = research.choose(ranked.join(three, "query", "left_anti"), lambda block: F.lit("none"))
+    return research.report(some.union(rest), ranked.where("false").select("query", F.col("title").alias("warning")))

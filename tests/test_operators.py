@@ -102,3 +102,26 @@ def test_paths(spark):
     assert hrefs("/html/body/div[@id='b']//a") == ["/3"] and hrefs("//a[contains(@href,'2')]") == ["/2"] and hrefs("/body") == []
     with pytest.raises(ValueError):
         html.parse_path("//a[last()]")
+
+
+def test_addresses(spark):
+    from siltweb.functions import addresses
+
+    df = spark.createDataFrame([("2606:4700::1",), ("2001:db8::1",), ("::1",), ("::ffff:10.0.0.1",), ("::ffff:8.8.8.8",), ("x",), (None,)], "a string")
+    assert [r[0] for r in df.select(addresses.is_public_ipv6("a")).collect()] == [True, False, False, False, True, None, None]
+    import base64
+    import hashlib
+
+    key = bytes(range(32))
+    name = base64.b32encode(key + hashlib.sha3_256(b".onion checksum" + key + b"\x03").digest()[:2] + b"\x03").decode().lower()
+    hosts = spark.createDataFrame([(name + ".onion",), ("a" * 56 + ".onion",), (name,), (None,)], "h string")
+    assert [r[0] for r in hosts.select(addresses.is_onion_v3("h")).collect()] == [True, False, False, False]
+
+
+def test_responses(spark):
+    from siltweb.functions import responses
+
+    assert one(spark, responses.decoded_file(F.lit("aMOp\nbGxv"))) == "héllo" and one(spark, responses.decoded_file(F.lit("/w=="))) is None
+    assert one(spark, responses.decoded_file(F.lit("%"))) is None
+    assert one(spark, responses.error_json(F.lit("layout"))) == '{"error":{"code":"layout","message":"the page has an unknown layout"}}'
+    assert one(spark, responses.within_bytes(F.lit("é"), 1)) is None
