@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hashed_sample, materialize, table
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def search(vectors: DataFrame, is_query: Column, how: Search = Search()) -> Data
         return spark.createDataFrame([], schema)
     size = common["size"]
     good = good.where(F.size("vector") == size)
-    sample = good.orderBy(F.xxhash64("id", F.lit(how.seed)), "id").limit(how.sample).toPandas()
+    sample = hashed_sample(good, F.col("id"), how.sample, f"search{how.seed}").toPandas()
     known_ids, known = sample["id"].to_numpy(), stacked(sample["vector"])
     centre = known.mean(0)
     index = materialize(build_index(good.select("id", "vector"), centre, how), "codes")

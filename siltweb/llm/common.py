@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir, table
 
-__all__ = ["connected_components", "fresh_path", "map_groups", "materialize", "shared_dir", "table"]
+__all__ = ["connected_components", "fresh_path", "hashed_sample", "map_groups", "materialize", "shared_dir", "table"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def hashed_sample(df: DataFrame, key: Column, n: int, salt: str) -> DataFrame:
+    """The ``n`` rows whose keys have the smallest hashes, ties by key.
+
+    A first filter on the hash leaves about twice as many, so that tasks don't each send ``n`` rows to be sorted.
+    """
+    draw = F.crc32(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")) / float(1 << 32)
+    share = min(1.0, (2.0 * n + 100) / max(1, df.count()))
+    return df.where(draw < share).orderBy(draw, key).limit(n)
+
+
 def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """Apply ``fn(frame, starts)`` to batches of whole groups; ``starts`` are the rows at which groups begin, and the end.
 
@@ -56,8 +67,6 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     Alternates neighbour-minimum with pointer jumping, so long chains take a logarithmic number of rounds. Every step is
     a pre-aggregated minimum; no node's neighbours are gathered. Rounds go on until nothing changes.
     """
-    from pyspark.sql import functions as F
-
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a is not null and b is not null and a <> b").distinct(), f"{name}-edges")
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), f"{name}-0")

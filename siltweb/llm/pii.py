@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -247,9 +247,8 @@ def fit(texts: list[str], how: Settings) -> Field:
 
 def train(docs: DataFrame, how: Settings = Settings()) -> Field:
     """Fit on the ``training_docs`` with the smallest hashes among those that hold a digit or an at sign."""
-    draw = F.crc32(F.concat(F.lit("pii:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select(draw.alias("draw"), "text")
-    return fit([r["text"] for r in some.orderBy("draw", "text").limit(how.training_docs).collect()], how)
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("doc_id", "text")
+    return fit([r["text"] for r in hashed_sample(some, F.col("doc_id"), how.training_docs, "pii").collect()], how)
 
 
 def find(field: Field, texts: list[str | None], how: Settings = Settings()) -> list[tuple[list[Span], list[Span]]]:
