@@ -17,7 +17,7 @@ from .common import connected_components, hashed_sample, map_groups, materialize
 @dataclass(frozen=True)
 class Descent:
     cosine: float = 0.9
-    #: Neighbours kept of each vector. A list that fills up with links is enlarged to its whole component.
+    #: Neighbours kept of each vector. A vector whose list fills up with links is compared with all rows.
     neighbours: int = 8
     #: Random-hyperplane trees that give the first neighbours, and how many vectors their leaves should hold.
     trees: int = 10
@@ -27,7 +27,9 @@ class Descent:
     #: Vectors whose links are counted by brute force to audit the graph, and the recall that ends refinement.
     audited: int = 256
     recall: float = 0.999
+    #: Vectors in a block that are compared together, and centres of blocks that a task holds at a time.
     block: int = 256
+    centres: int = 4096
     seed: int = 23
 
 
@@ -113,10 +115,10 @@ def refine(graph: DataFrame, unit: DataFrame, how: Descent) -> DataFrame:
     return materialize(_best(graph.union(met), how.neighbours), "graph")
 
 
-def audit(links: DataFrame, unit: DataFrame, how: Descent) -> tuple[int, int]:
-    """Links of a hashed sample of vectors that the graph has, and that there are: the sample against all rows.
+def audit(found: DataFrame, unit: DataFrame, how: Descent, most: int | None = None) -> tuple[int, int]:
+    """Links of a hashed sample of vectors by ``found(id, found)``, and those that there are: the sample against all rows, by their copies.
 
-    A vector whose list is full of links counts with as many as the list can hold.
+    With ``most``, a vector counts with that many at most, as its list can hold no more.
     """
     spark = unit.sparkSession
     sample = hashed_sample(unit, F.col("id"), how.audited, f"audit{how.seed}").toPandas()
@@ -128,34 +130,118 @@ def audit(links: DataFrame, unit: DataFrame, how: Descent) -> tuple[int, int]:
         for batch in batches:
             if len(batch):
                 hit = (rows @ _matrix(batch["vector"]).T) >= how.cosine
-                total += (hit & (batch["id"].to_numpy() != ids[:, None])).sum(1)
+                total += (hit & (batch["id"].to_numpy() != ids[:, None])) @ batch["copies"].to_numpy()
         yield pd.DataFrame({"id": ids, "there": total})
 
-    there = unit.mapInPandas(count, "id long, there long").groupBy("id").agg(F.least(F.sum("there"), F.lit(how.neighbours)).alias("there"))
-    found = links.groupBy("id").agg(F.count("*").alias("found"))
+    there = unit.mapInPandas(count, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
+    if most is not None:
+        there = there.withColumn("there", F.least("there", F.lit(most)))
     both = there.join(found, "id", "left").agg(F.sum(F.least("there", F.coalesce("found", F.lit(0)))), F.sum("there")).first()
     return both[0] or 0, both[1] or 0
 
 
-def _counted_in_blocks(members: DataFrame, how: Descent) -> DataFrame:
-    """``id, links``: exact, from comparing each component's blocks two by two. ``members``: component, id, copies, vector. Only counts leave a task."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / float(how.block)).alias("blocks"))
-    dealt = materialize(members.join(materialize(sizes, "sizes"), "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))), "dealt")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    sent = dealt.select("component", "own", "id", "copies", "vector", other).select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "copies", "vector")
+def _blocks(full: DataFrame, how: Descent) -> DataFrame:
+    """``full`` with ``block``: members of one component, dealt by a hash. Components of a few members share blocks."""
+    sizes = full.groupBy("component").agg(F.count("*").alias("n"))
+    few = int(np.ceil(max(1, full.count()) / how.block))
+    own = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / float(how.block))))
+    block = F.when(F.col("n") >= how.neighbours, own).otherwise(F.pmod(F.xxhash64("component"), F.lit(few)))
+    return materialize(full.join(materialize(sizes, "sizes"), "component").withColumn("block", block).drop("n"), "dealt")
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group["a"].iloc[0], group["b"].iloc[0]
-        left, right = group[group["own"] == a], group[group["own"] == b]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "links": []})
-        hit = (_matrix(left["vector"]) @ _matrix(right["vector"]).T) >= how.cosine
-        if a == b:
-            np.fill_diagonal(hit, False)
-            return pd.DataFrame({"id": left["id"], "links": hit @ left["copies"].to_numpy()})
-        return pd.DataFrame({"id": np.append(left["id"], right["id"]), "links": np.append(hit @ right["copies"].to_numpy(), hit.T @ left["copies"].to_numpy())})
 
-    return sent.groupBy("component", "a", "b").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+def _visits(dealt: DataFrame, rows: DataFrame, how: Descent) -> DataFrame:
+    """``rows`` with each ``block`` in which they can have links: no farther from its centre than its radius and the links' angle together.
+
+    By the triangle inequality of angles nothing is lost. Centres go to the tasks in slices of a fixed number.
+    """
+
+    def centres(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        m, out = _matrix(frame["vector"]), []
+        for a, b in zip(starts[:-1], starts[1:]):
+            mean = m[a:b].mean(0)
+            length = np.linalg.norm(mean)
+            if length < 1e-9:
+                out.append((frame["block"].iloc[a], mean.tolist(), -2.0))
+                continue
+            mean = mean / length
+            reach = np.arccos(np.clip((m[a:b] @ mean).min(), -1, 1)) + np.arccos(np.clip(how.cosine, -1, 1)) + 1e-6
+            out.append((frame["block"].iloc[a], mean.tolist(), float(np.cos(reach)) if reach < np.pi else -2.0))
+        return pd.DataFrame(out, columns=["block", "centre", "least"])
+
+    middle = materialize(map_groups(dealt.select("block", "vector"), ["block"], centres, "block long, centre array<double>, least double"), "centres")
+    slices = -(-middle.count() // how.centres)
+    out = None
+    for k in range(slices):
+        held = middle.where(F.pmod(F.xxhash64("block"), F.lit(slices)) == k).toPandas()
+        if not len(held):
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast((held["block"].to_numpy(), _matrix(held["centre"]), held["least"].to_numpy()))
+
+        def visit(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            blocks, centre, least = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 512):
+                    part = batch.iloc[at : at + 512]
+                    i, j = np.nonzero(_matrix(part["vector"]) @ centre.T >= least)
+                    for cut in range(0, len(i), 8192):
+                        yield part.iloc[i[cut : cut + 8192]].assign(block=blocks[j[cut : cut + 8192]])
+
+        some = materialize(rows.mapInPandas(visit, rows.withColumn("block", F.lit(0).cast("long")).schema), "visits")
+        out = some if out is None else out.union(some)
+    return out
+
+
+def _compared_in_blocks(rows: DataFrame, how: Descent) -> DataFrame:
+    """``edge, id, other``: of vectors whose list is full, exact, from comparing blocks of them with all rows that can link with them.
+
+    ``rows``: id, copies, component, full, vector. Where ``edge``, a link joins the components ``id`` and ``other``; else
+    ``other`` is a number of links of ``id``: all of a full vector, and with full ones of another. Each link with a full
+    vector is seen, and only counts and pairs of components leave a task.
+    """
+    dealt = _blocks(rows.where("full"), how)
+    visits = _visits(dealt, rows, how)
+    if visits is None:
+        return rows.sparkSession.createDataFrame([], "edge boolean, id long, other long")
+    parts = materialize(visits.groupBy("block").agg(F.ceil(F.count("*") / (8.0 * how.block)).alias("parts")), "parts")
+    columns = ["block", "part", "host", *rows.columns]
+    guests = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("host", F.lit(False))
+    hosts = dealt.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("host", F.lit(True))
+
+    def meet(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        m, ids, copies, host, full, component = _matrix(frame["vector"]), *(frame[c].to_numpy() for c in ("id", "copies", "host", "full", "component"))
+        out = [pd.DataFrame({"edge": np.zeros(0, bool), "id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})]
+        for a, b in zip(starts[:-1], starts[1:]):
+            left, right = a + np.flatnonzero(host[a:b]), a + np.flatnonzero(~host[a:b])
+            if not len(left) or not len(right):
+                continue
+            hit = (m[left] @ m[right].T >= how.cosine) & (ids[left][:, None] != ids[right])
+            out.append(pd.DataFrame({"edge": False, "id": ids[left], "other": hit @ copies[right]}))
+            listed = ~full[right]
+            out.append(pd.DataFrame({"edge": False, "id": ids[right][listed], "other": hit[:, listed].T @ copies[left]}))
+            i, j = np.nonzero(hit & (component[left][:, None] != component[right]))
+            pairs = pd.DataFrame({"edge": True, "id": component[left][i], "other": component[right][j]}).drop_duplicates()
+            out.append(pairs)
+        both = pd.concat(out, ignore_index=True)
+        return both[both["edge"] | (both["other"] > 0)]
+
+    return materialize(map_groups(guests.select(columns).union(hosts.select(columns)), ["block", "part"], meet, "edge boolean, id long, other long"), "met")
+
+
+def _counted(links: DataFrame, full: DataFrame, unit: DataFrame, how: Descent) -> DataFrame:
+    """``id, component, links`` of every distinct vector: links with vectors of ``full(id)`` from comparing them with all rows, others from the lists."""
+    component = connected_components(links.select(F.col("id").alias("a"), F.col("near").alias("b")), "groups").select(F.col("node").alias("id"), "component")
+    rows = unit.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = rows.join(full.withColumn("full", F.lit(True)), "id", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    rows = materialize(rows.select("id", "copies", "component", "full", "vector"), "located")
+    met = _compared_in_blocks(rows, how)
+    in_blocks = met.where("not edge").groupBy("id").agg(F.sum("other").alias("links"))
+    both = links.select("id", "near").union(links.select(F.col("near").alias("id"), F.col("id").alias("near"))).distinct()
+    both = both.join(full, "id", "left_anti").join(full.withColumnRenamed("id", "near"), "near", "left_anti")
+    listed = both.join(unit.select(F.col("id").alias("near"), "copies"), "near").groupBy("id").agg(F.sum("copies").alias("listed"))
+    merged = connected_components(met.where("edge").select(F.col("id").alias("a"), F.col("other").alias("b")), "merged").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    counted = rows.drop("vector").join(merged, "component", "left").join(listed, "id", "left").join(in_blocks, "id", "left")
+    total = F.coalesce("links", F.lit(0)) + F.coalesce("listed", F.lit(0))
+    return materialize(counted.select("id", "copies", F.coalesce("whole", "component").alias("component"), total.alias("links")), "counted")
 
 
 def near_duplicates(vectors: DataFrame, how: Descent = Descent()) -> DataFrame:
@@ -163,8 +249,9 @@ def near_duplicates(vectors: DataFrame, how: Descent = Descent()) -> DataFrame:
 
     Equal vectors collapse into their smallest id. Leaves of random trees give each vector its first neighbours;
     NN-descent rounds compare neighbours of neighbours until no round finds new links and the audit's recall is reached.
-    Edges of at least ``cosine`` are the links. Where a list is full of links there may be more: then it is enlarged to
-    its whole component, whose links are counted exactly, block by block.
+    Edges of at least ``cosine`` are the links. Where a list is full of links there may be more: such vectors are compared
+    with all rows, block by block, leaving out only those that are too far from a block to link with anything in it. A last
+    audit counts all links, however many; where it misses some, every vector is compared so.
 
     Unusable vectors (null, zero, null or non-finite components, or not of the most common length) link with nothing and
     are their own component. Repeated ids share a component if their vectors do; a null id is returned with null
@@ -192,25 +279,19 @@ def near_duplicates(vectors: DataFrame, how: Descent = Descent()) -> DataFrame:
     for k in range(how.most_rounds):
         links = graph.where(F.col("cos") >= how.cosine)
         now = links.count()
-        found, there = audit(links, unit.select("id", "vector"), how)
+        found, there = audit(links.groupBy("id").agg(F.count("*").alias("found")), unit.withColumn("copies", F.lit(1).cast("long")), how, how.neighbours)
         if k >= how.least_rounds and now == before and found >= how.recall * there:
             break
         before = now
         graph = refine(graph, unit.select("id", "vector"), how)
     links = graph.where(F.col("cos") >= how.cosine)
 
-    component = connected_components(links.select(F.col("id").alias("a"), F.col("near").alias("b")), "groups").select(F.col("node").alias("id"), "component")
-    full = links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= how.neighbours).select("id")
-    crowded = materialize(component.join(full, "id").select("component").distinct(), "crowded")
-    members = unit.join(component.join(crowded, "component"), "id").select("component", "id", "copies", "vector")
-    in_blocks = _counted_in_blocks(members, how)
-    both = links.select("id", "near").union(links.select(F.col("near").alias("id"), F.col("id").alias("near"))).distinct()
-    sizes = unit.select(F.col("id").alias("near"), "copies")
-    listed = both.join(sizes, "near").groupBy("id").agg(F.sum("copies").alias("listed"))
-    counted = unit.select("id", "copies").join(component, "id", "left").join(listed, "id", "left").join(in_blocks, "id", "left")
-    per_class = counted.select(
-        F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"), (F.coalesce("links", "listed", F.lit(0)) + F.col("copies") - 1).alias("links")
-    )
+    full = materialize(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= how.neighbours).select("id"), "full")
+    counted = _counted(links, full, unit, how)
+    found, there = audit(counted.select("id", F.col("links").alias("found")), unit, how)
+    if found < how.recall * there:
+        counted = _counted(links, unit.select("id"), unit, how)
+    per_class = counted.select(F.col("id").alias("rep"), "component", (F.col("links") + F.col("copies") - 1).alias("links"))
     named = materialize(classes.select("key", F.col("id").alias("rep")).join(per_class, "rep").select("key", "component", "links"), "named")
     linked = keyed.select("vec_id", "key").join(named, "key").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     linked = linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
