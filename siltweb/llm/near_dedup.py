@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, table
+from .common import connected_components, map_groups, materialize, table
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,8 @@ class NearDup:
     df_bits: int = 16
     #: Up to this many documents that have a candidate partner are named to every task; more are joined by shuffle.
     broadcast_ids: int = 1_000_000
-    #: Hubs that the members of a bucket are compared with in a round, after the first, and rounds before buckets are split by a second band.
-    hubs: int = 4
-    hub_rounds: int = 2
+    #: Members of a bucket in a block that are compared together.
+    block: int = 256
     #: Standard errors below the threshold at which samples alone turn a pair away.
     slack: float = 3.5
     seed: int = 11
@@ -175,6 +174,52 @@ def _likely(pairs: DataFrame, sketches: DataFrame, how: NearDup) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
+def _between_classes(members: DataFrame, sketches: DataFrame, how: NearDup, one_each: bool) -> DataFrame:
+    """``a, b``: of each bucket's members that are in different classes, the pairs whose samples don't rule the threshold out.
+
+    ``members``: rep, key, part. A bucket's members are dealt into blocks that meet two by two; those of its largest class
+    don't meet each other. With ``one_each``, of each two classes in a block only the pair that agrees most.
+    """
+    samples = how.bands * how.rows
+    least = samples * (how.similarity - how.slack * (how.similarity * (1 - how.similarity) / samples) ** 0.5)
+    counts = materialize(members.groupBy("key", "part").agg(F.count("*").alias("n")), "class-sizes")
+    mixed = counts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    rest = F.ceil((F.col("n") - F.col("n_main")) / float(how.block))
+    mixed = materialize(mixed.select("key", "main", rest.alias("rest"), F.ceil(F.col("n_main") / float(how.block)).alias("mains")), "mixed")
+    dealt = members.join(mixed, "key").withColumn("is_main", F.col("part") == F.col("main"))
+    draw = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    # Blocks of the rest come first; small buckets are one block.
+    small = (F.col("rest") == 1) & (F.col("mains") == 1)
+    own = F.when(small, F.lit(0)).when(F.col("is_main"), F.col("rest") + draw("mains")).otherwise(draw("rest"))
+    dealt = dealt.withColumn("own", own.cast("long"))
+    others = F.when(small, F.array(F.lit(0).cast("long"))).when(F.col("is_main"), F.sequence(F.lit(0).cast("long"), F.col("rest") - 1))
+    others = others.otherwise(F.sequence(F.lit(0).cast("long"), F.col("rest") + F.col("mains") - 1))
+    sent = dealt.select("key", "rep", "part", "own", F.explode(others).alias("other"))
+    sent = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "part").join(sketches, "rep")
+
+    def meet(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        rep, part, own = frame["rep"].to_numpy(), frame["part"].to_numpy(), frame["own"].to_numpy()
+        values = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(len(frame), -1)
+        first, second = frame["i"].to_numpy(), frame["j"].to_numpy()
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
+        for a, b in zip(starts[:-1], starts[1:]):
+            left, right = (a + np.flatnonzero(own[a:b] == x) for x in (first[a], second[a]))
+            if not len(left) or not len(right):
+                continue
+            agree = np.zeros((len(left), len(right)), np.int16)
+            for k in range(samples):
+                agree += values[left, k][:, None] == values[right, k]
+            x, y = np.nonzero((agree >= least) & (part[left][:, None] != part[right]))
+            u, v = left[x], right[y]
+            pairs = pd.DataFrame({"a": np.minimum(rep[u], rep[v]), "b": np.maximum(rep[u], rep[v]), "low": np.minimum(part[u], part[v]), "high": np.maximum(part[u], part[v]), "agree": agree[x, y]})
+            if one_each:
+                pairs = pairs.sort_values(["agree", "a", "b"], ascending=[False, True, True]).drop_duplicates(["low", "high"])
+            out.append(pairs[["a", "b"]].drop_duplicates())
+        return pd.concat(out, ignore_index=True)
+
+    return map_groups(sent, ["key", "i", "j"], meet, "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, idf, how: NearDup) -> DataFrame:
     """``a, b, similar`` of each pair: the weighted Jaccard similarity of the whole texts reaches the threshold."""
 
@@ -198,10 +243,9 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """``doc_id, class_id, kept`` of every row: classes of documents that links of similarity join, named by their smallest doc_id, which alone is kept.
 
     Equal texts collapse into their smallest doc_id first; links are sought between different texts only. In each band's
-    bucket every member is compared with hubs, first the member that shares buckets with most others and the smallest id,
-    never with every other. Of classes
-    that no hub is in, two members each go on to the next round's hubs, and buckets that still hold several are split by
-    a second band. Samples turn clearly different pairs away; all others are compared exactly on their whole texts.
+    bucket every member is compared with hubs, the member that shares buckets with most others and the smallest id. Then
+    all members of a bucket that are in different classes meet, in blocks. Samples turn clearly different pairs away; all
+    others are compared exactly on their whole texts. Members of one class have no need to be compared.
 
     Lower-cased white-space words count; fewer than five form one shingle. Null and blank texts are alone in their class.
     Repeated rows are copies of each other; of rows that tie, all with the class's id are kept. A null doc_id with words
@@ -226,46 +270,25 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     chosen = materialize(known.join(ids, "rep").groupBy("rep").agg(F.max("text").alias("text")), "candidate-texts")
     sketches = materialize(reps.join(ids, "rep").select("rep", "sketch"), "sketches")
 
-    edges = spark.createDataFrame([], "a long, b long")
-    joined, tested, k = None, None, 0
-    waiting = materialize(waiting.select("rep", "key", F.col("rep").alias("part")).join(light(central), "rep"), "waiting")
+    waiting = materialize(waiting.select("rep", "key").join(light(central), "rep"), "waiting")
     hub = F.max_by("rep", F.struct("central", -F.col("rep"))).alias("hub")
-    while not waiting.isEmpty():
-        if k == 0:
-            hubs = waiting.groupBy("key").agg(hub, F.min("rep").alias("low")).select("key", F.explode(F.array_distinct(F.array("hub", "low"))).alias("hub"))
-        else:
-            slot = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(how.hubs)).alias("slot")
-            hubs = waiting.groupBy("key", slot).agg(hub).select("key", "hub")
-        hubs = materialize(hubs, "hubs")
-        met = waiting.join(hubs, "key").where("rep <> hub")
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    hubs = materialize(waiting.groupBy("key").agg(hub, F.min("rep").alias("low")).select("key", F.explode(F.array_distinct(F.array("hub", "low"))).alias("hub")), "hubs")
+    met = waiting.join(hubs, "key").where("rep <> hub")
+    pairs = materialize(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
+    tested = pairs
+    edges = materialize(_verify(materialize(_likely(pairs, sketches, how), "likely"), chosen, idf, how).where("similar").select("a", "b"), "verified")
+    joined = connected_components(edges, "classes").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    # Members of different classes meet in their bucket: the likeliest pair of each two classes first, then all that are left.
+    for each in (True, False):
+        now = waiting.select("rep", "key").join(light(joined), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        pairs = _between_classes(now, sketches, how, each).join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        likely = materialize(_likely(pairs, sketches, how), "likely")
-        new = materialize(_verify(likely, chosen, idf, how).where("similar").select("a", "b"), "verified")
-        if k == 0 or not new.isEmpty():
-            edges = new
-            # Earlier classes stand for their edges.
-            if joined is not None:
-                edges = new.union(joined.where("rep <> part").select(F.col("rep").alias("a"), F.col("part").alias("b")))
-            joined = connected_components(edges, "classes").select(F.col("node").alias("rep"), F.col("component").alias("part"))
-        # What is in one class with a hub has no more to find here; of each other class two members go on.
-        parts = light(joined)
-        now = waiting.drop("part").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        hub_parts = hubs.select("key", F.col("hub").alias("rep")).join(parts, "rep", "left").select("key", F.coalesce("part", "rep").alias("part")).distinct()
-        left = now.join(materialize(hub_parts, "hub-classes"), ["key", "part"], "left_anti")
-        left = left.groupBy("key", "part").agg(F.array_distinct(F.array(hub, F.min("rep"))).alias("both")).select("key", "part", F.explode("both").alias("rep"))
-        k += 1
-        if k == how.hub_rounds:
-            left = materialize(left, "turned-away")
-            second = left.join(members.withColumnRenamed("key", "second"), "rep").where("second <> key")
-            left = second.select("rep", "part", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
-        left = materialize(left, "turned-away")
-        crowded = left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-        waiting = materialize(left.join(crowded, "key", "left_semi").select("rep", "part", "key").join(light(central), "rep"), "waiting")
-    classes = connected_components(edges, "classes").select(F.col("node").alias("rep"), "component") if joined is None else joined.withColumnRenamed("part", "component")
+        tested = tested.union(pairs)
+        new = materialize(_verify(pairs, chosen, idf, how).where("similar").select("a", "b"), "verified")
+        # Earlier classes stand for their edges.
+        edges = new.union(joined.where("rep <> part").select(F.col("rep").alias("a"), F.col("part").alias("b")))
+        joined = connected_components(edges, "classes").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    classes = joined.withColumnRenamed("part", "component")
     named = materialize(reps.select("text_key", "rep").join(classes, "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class")), "named")
     out = signed.join(named, "text_key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -55,3 +55,23 @@ def test_samples_agree_as_often_as_sets_are_similar():
         a, b = (keys, weights), (np.sort(other), weights[np.argsort(other)])
         agree = (sampler.sample(*a) == sampler.sample(*b)).mean()
         assert abs(agree - N.weighted_jaccard(a, b)) < 0.1
+
+
+def signed(reps, sketches, keys):
+    """Rows as ``signatures`` gives them, for texts whose buckets and samples are set by hand."""
+    return lambda docs, idf, how: docs.sparkSession.createDataFrame([(r, f"t{r}", [int(k) for k in keys[r]], np.asarray(sketches[r], np.uint32).tobytes()) for r in reps], "doc_id long, text_key string, bands array<long>, sketch binary")
+
+
+def test_pair_that_shares_one_crowded_bucket(spark, monkeypatch):
+    # unlike texts crowd a bucket that the two copies share, and no other
+    texts = {k: " ".join(f"u{k}x{j}" for j in range(60)) for k in range(1, 41)}
+    texts[20], texts[33] = " ".join(f"same{j}" for j in range(300)), " ".join(f"same{j}" for j in range(300)) + " more"
+    sketches = {r: np.arange(48) + 1000 * r for r in texts}
+    sketches[33] = sketches[20].copy()
+    keys = {r: [7, *(1000 * r + k for k in range(11))] for r in texts}
+    for r in (1, 2):  # hubs that aren't the copies
+        keys[r] = [7, 8, *(1000 * r + k for k in range(10))]
+    monkeypatch.setattr(N, "signatures", signed(texts, sketches, keys))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs, N.NearDup(block=4)).collect()}
+    assert got == {r: 20 if r == 33 else r for r in texts}
