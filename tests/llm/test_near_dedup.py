@@ -62,6 +62,17 @@ def signed(reps, sketches, keys):
     return lambda docs, idf, how: docs.sparkSession.createDataFrame([(r, f"t{r}", [int(k) for k in keys[r]], np.asarray(sketches[r], np.uint32).tobytes()) for r in reps], "doc_id long, text_key string, bands array<long>, sketch binary")
 
 
+def drifting(n, step, size, tag):
+    """Texts of which each differs from the last in some more words."""
+    words, out = [f"{tag}{k}" for k in range(size)], []
+    for k in range(n):
+        out.append(" ".join(words))
+        words = words[:]
+        for x in range(step):
+            words[(k * step + x) % size] = f"{tag}new{k}x{x}"
+    return out
+
+
 def test_pair_that_shares_one_crowded_bucket(spark, monkeypatch):
     # unlike texts crowd a bucket that the two copies share, and no other
     texts = {k: " ".join(f"u{k}x{j}" for j in range(60)) for k in range(1, 41)}
@@ -75,3 +86,16 @@ def test_pair_that_shares_one_crowded_bucket(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs, N.NearDup(block=4)).collect()}
     assert got == {r: 20 if r == 33 else r for r in texts}
+
+
+def test_chain_whose_buckets_all_hold_the_same_hub(spark, monkeypatch):
+    chain = drifting(14, 6, 300, "c")
+    texts = dict(enumerate(chain, 1))
+    sketches = {r: np.concatenate([np.full(40, 9), np.arange(8) + 100 * r]) for r in texts}
+    keys = {r: [7, 8, *(1000 * r + k for k in range(10))] for r in texts}
+    monkeypatch.setattr(N, "signatures", signed(texts, sketches, keys))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(list(texts.items()))
+    assert set(want.values()) == {1}
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs, N.NearDup(block=4)).collect()}
+    assert got == want
