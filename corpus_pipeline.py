@@ -24,15 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, how: la
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, how: near_dedup.NearDup = near_dedup.NearDup()) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; of rows that repeat id and text, one."""
-    judged = materialize(near_dedup.near_duplicates(docs, how), "judged")
-    gone = materialize(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    twice = materialize(judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    judged = near_dedup.near_duplicates(docs, how)
+    # An id alone doesn't tell rows apart: it may be null or repeat with another text.
+    keyed = docs.withColumn("_text_key", near_dedup.text_key(F.col("text")))
+    gone = materialize(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
+    twice = keyed.groupBy(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_key")
+    twice = materialize(twice, "twice")
     gone, twice = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (gone, twice))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
-    left = docs.join(gone, same(docs, gone), "left_anti")
-    once = left.join(twice, same(left, twice), "left_anti")
-    repeated = left.join(twice, same(left, twice), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(repeated)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key"))
+    left = keyed.join(gone, same, "left_anti")
+    once = left.join(twice, same, "left_anti")
+    repeated = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(repeated).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

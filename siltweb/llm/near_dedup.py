@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,17 +124,20 @@ def inverse_frequencies(docs: DataFrame, how: NearDup) -> np.ndarray:
     return 1.0 + np.log((1.0 + n) / (1.0 + df))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.md5(text.cast("binary"))
+
+
 def signatures(docs: DataFrame, idf, how: NearDup) -> DataFrame:
     """``doc_id, text_key, bands, sketch`` of every document, null where there are no words; the sketch is 32 bits of each sample."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         known, sampler = _Hashes(), WeightedSampler(how.bands * how.rows, how.seed)
         fold = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, how.rows + 1, dtype=np.uint64)
         for batch in batches:
             keys, bands, sketches = [], [], []
-            for text in batch["text"].array:
+            for text, key in zip(batch["text"].array, batch["text_key"].array):
                 words = word_hashes(text, known) if isinstance(text, str) else ()
                 if not len(words):
                     keys.append(None)
@@ -145,11 +148,11 @@ def signatures(docs: DataFrame, idf, how: NearDup) -> DataFrame:
                 picked ^= picked >> np.uint64(32)
                 sketches.append(picked.astype(np.uint32).tobytes())
                 band = (picked * fold).sum(1, dtype=np.uint64) + np.arange(how.bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
-                keys.append(xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
+                keys.append(key)
                 bands.append((band ^ (band >> np.uint64(29))).view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": keys, "bands": bands, "sketch": sketches})
 
-    return docs.select("doc_id", "text").mapInPandas(run, T.StructType([*docs.select("doc_id").schema.fields, T.StructField("text_key", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]))
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInPandas(run, T.StructType([*docs.select("doc_id").schema.fields, T.StructField("text_key", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -240,7 +243,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, how: NearDup) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """``doc_id, class_id, kept`` of every row: classes of documents that links of similarity join, named by their smallest doc_id, which alone is kept.
+    """``doc_id, class_id, kept, text_key`` of every row: classes of documents that links of similarity join, named by their smallest doc_id, which alone is kept.
 
     Equal texts collapse into their smallest doc_id first; links are sought between different texts only. In each band's
     bucket every member is compared with hubs, the member that shares buckets with most others and the smallest id. Then
@@ -290,9 +293,9 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
         joined = connected_components(edges, "classes").select(F.col("node").alias("rep"), F.col("component").alias("part"))
     classes = joined.withColumnRenamed("part", "component")
     named = materialize(reps.select("text_key", "rep").join(classes, "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class")), "named")
-    out = signed.join(named, "text_key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = signed.join(named, "text_key", "left").select("doc_id", "text_key", F.coalesce("class", "doc_id").alias("class_id"))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_key")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")

@@ -40,3 +40,11 @@ def test_run_gives_pieces(spark, small):
     assert out.count() > 0
     assert [name for name, _ in C.STAGES] == ["language_id", "near_dedup", "pii", "mixing", "packing"]
     assert mixing and near_dedup
+
+
+def test_null_and_repeated_ids_keep_their_other_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c), (None, d), (None, d), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in C.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, c), (None, d), (8, None)], key=str)
