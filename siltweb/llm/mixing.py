@@ -81,20 +81,51 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
     return w.select(*CELL, "tokens", "weight")
 
 
+def reachable(own: DataFrame, budget: float) -> DataFrame:
+    """``own`` with ``goal``: ``aim`` shares of ``budget`` tokens; a value that has fewer gives all it has, and the others make up for it in proportion."""
+    scale = budget
+    while True:
+        sure = F.col("own") <= F.col("aim") * scale
+        held, free = own.agg(F.sum(F.when(sure, F.col("own"))), F.sum(F.when(~sure, F.col("aim")))).first()
+        new = max(scale, (budget - (held or 0.0)) / free) if free else scale
+        if new <= scale * (1 + 1e-12):
+            return own.withColumn("goal", F.least("own", F.col("aim") * scale))
+        scale = new
+
+
 def calibrate(cells: DataFrame, how: Mixture) -> DataFrame:
-    """``cells`` with ``probability`` = min(1, scale x weight / own share), the scale chosen so that the sample's expected tokens meet the budget.
+    """``cells`` with ``probability``, and with ``weight`` the share of the sample's tokens to expect from the cell.
 
-    The scale is searched on a grid of 64 sums in one pass, refined twice. Only those sums reach the driver.
+    The sample's expected tokens meet the budget and its marginals those of the raked weights, as far as the tokens
+    allow: a value that needs more than all its tokens gives all, and the rest of its share goes to the other values of
+    its dimension in proportion. Cells that are taken whole stay so, and the others are raked again around them.
+    Only sums reach the driver.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") * float(total) / F.col("tokens")).otherwise(0.0)
-    low, high = 0.0, 64.0
-    for _ in range(3):
-        grid = [low + (high - low) * k / 64 for k in range(65)]
-        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * g)).alias(f"s{k}") for k, g in enumerate(grid)]).first()
-        k = next((k for k, s in enumerate(sums) if (s or 0.0) >= how.budget * total), 64)
-        low, high = grid[max(0, k - 1)], grid[k]
-    return cells.withColumn("probability", F.least(F.lit(1.0), ratio * high))
+    total, there = cells.agg(F.sum("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()
+    budget = min(how.budget * (total or 0), there or 0)
+    if budget <= 0:
+        return cells.withColumn("probability", F.lit(0.0))
+    w = cells.withColumn("expected", F.least(F.col("tokens").cast("double"), F.col("weight") * float(budget)))
+    goals = {}
+    for c in CELL:
+        own = materialize(cells.where("weight > 0").groupBy(c).agg(F.sum("tokens").cast("double").alias("own"), F.sum("weight").alias("aim")), "own")
+        goals[c] = materialize(reachable(own, float(budget)).select(c, "goal"), "goals")
+    whole = F.col("expected") >= F.col("tokens") * (1 - 1e-9)
+    for k in range(how.sweeps):
+        for i, c in enumerate(CELL):
+            now = w.groupBy(c).agg(F.sum("expected").alias("now"), F.sum(F.when(whole, F.col("expected")).otherwise(0.0)).alias("fixed")).join(goals[c], c)
+            now = now.select(c, "now", "fixed", "goal", F.abs(F.col("goal") - F.col("now")).alias(f"off{i}"))
+            less = F.col("expected") * F.col("goal") / F.col("now")
+            more = F.when(whole, F.col("expected")).otherwise(F.col("expected") * F.coalesce(F.try_divide(F.col("goal") - F.col("fixed"), F.col("now") - F.col("fixed")), F.lit(1.0)))
+            new = F.when(F.col("now") > F.col("goal") * (1 + 1e-9), less).when(F.col("now") > 0, more).otherwise(0.0)
+            new = F.when(new >= F.col("tokens") * (1 - 1e-9), F.col("tokens").cast("double")).otherwise(new)
+            w = w.drop(f"off{i}").join(now, c, "left").withColumn("expected", F.coalesce(new, F.lit(0.0))).drop("now", "fixed", "goal")
+        w = materialize(w.coalesce(8), f"fitted-{k}")
+        worst = w.agg(*[F.max(f"off{i}").alias(f"m{i}") for i in range(len(CELL))]).first()
+        if max([x for x in worst if x is not None], default=0.0) < how.tolerance * budget:
+            break
+    expected = w.agg(F.sum("expected")).first()[0] or 1.0
+    return w.select(*CELL, "tokens", (F.col("expected") / expected).alias("weight"), F.coalesce(F.try_divide("expected", F.col("tokens").cast("double")), F.lit(0.0)).alias("probability"))
 
 
 def mix(docs: DataFrame, how: Mixture = Mixture()) -> DataFrame:
@@ -117,6 +148,6 @@ def mix(docs: DataFrame, how: Mixture = Mixture()) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sampled document of the whole table: its cell, tokens, target weight and probability."""
+    """Every sampled document of the whole table: its cell, tokens, expected share of the sample and probability."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("source_cell").alias("source"), F.col("lang_cell").alias("lang"), F.col("topic_cell").alias("topic"), F.col("cell_tokens").alias("tokens"), F.col("cell_weight").alias("weight"), F.col("cell_probability").alias("probability"))

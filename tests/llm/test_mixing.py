@@ -55,3 +55,17 @@ def test_odd_rows(spark):
 def test_token_counts(spark):
     df = spark.createDataFrame([(None,), ("",), ("  ",), ("a",), (" a  b\n\tc ",)], "t string")
     assert [r[0] for r in df.select(M.tokens_of(F.col("t"))).collect()] == [0, 0, 0, 1, 3]
+
+
+def test_sample_marginals_around_cells_taken_whole(spark):
+    # source a would have to give more English than it has; the raked marginals can all be met around it
+    cells = [("a", "en", "x", 100), ("a", "de", "x", 4000), ("b", "en", "x", 3000), ("b", "de", "x", 4000)]
+    df = spark.createDataFrame(cells, "source_cell string, lang_cell string, topic_cell string, tokens long")
+    how = M.Mixture(targets={"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.4, "de": 0.6}}, budget=0.6, sweeps=8)
+    out = M.calibrate(M.rake(df, how), how).collect()
+    expected = {tuple(r)[:2]: r["tokens"] * r["probability"] for r in out}
+    total = sum(expected.values())
+    assert abs(total - 0.6 * 11100) < 2 and all(r["probability"] <= 1 for r in out) and expected["a", "en"] == 100
+    assert abs(sum(v for k, v in expected.items() if k[0] == "a") / total - 0.4) < 1e-3
+    assert abs(sum(v for k, v in expected.items() if k[1] == "en") / total - 0.4) < 1e-3
+    assert all(abs(r["weight"] - expected[tuple(r)[:2]] / total) < 1e-9 for r in out)
