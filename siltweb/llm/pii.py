@@ -25,6 +25,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Messages that change by no more have settled.
+SETTLED = 1e-6
+
 _SPACE = re.compile(r"\s")
 _HIT = re.compile(r"[0-9@]+")
 _EDGE = " \t\n\r\f\v.,;:!?\"'()[]{}<>"
@@ -43,6 +46,7 @@ class Settings:
     #: Log-odds that a base span adds to its tokens, from which the field carries it on.
     evidence: float = 14.0
     decay: float = 2e-3
+    #: Rounds of propagation in each epoch of training; afterwards they go on until messages settle.
     rounds: int = 8
     damping: float = 0.3
     #: Least posterior of a label for a span that the base patterns don't give.
@@ -126,7 +130,7 @@ def build_graph(texts: list[str | None], bits: int) -> Graph:
             done = b
             hit = _HIT.search(flat, b)
         before: dict[str, int] = {}
-        # a run of neighbouring candidates is judged by its digits together
+        # a run of neighbouring candidates, eight at most, is judged by its digits together; chain edges go on past it
         k = 0
         while k < len(words):
             e = k + 1
@@ -153,7 +157,7 @@ def build_graph(texts: list[str | None], bits: int) -> Graph:
                 g.end.append(b)
                 g.features.append([hashed(x) for x in names])
                 here = len(g.doc) - 1
-                if j > k:
+                if j > k or k and words[k][0] == words[k - 1][1] + 1:
                     g.chain.append((here - 1, here))
                 key = own if len(own) >= 4 else token.casefold()
                 if key in before:
@@ -170,8 +174,12 @@ class Field:
     skip: np.ndarray
 
 
-def propagate(field: Field, g: Graph, rounds: int, damping: float, evidence: np.ndarray | None = None):
-    """Loopy sum-product over all documents at once: posteriors of tokens, of chain edges and of skip edges."""
+def propagate(field: Field, g: Graph, rounds: int | None, damping: float, evidence: np.ndarray | None = None):
+    """Loopy sum-product over all documents at once: posteriors of tokens, of chain edges and of skip edges.
+
+    Without ``rounds`` each document goes on until its messages settle; only loops that never settle end after twice as
+    many rounds as it takes to cross all tokens.
+    """
     n, y = len(g.doc), len(LABELS)
     counts = np.array([len(f) for f in g.features])
     flat = np.fromiter((x for f in g.features for x in f), np.int64, counts.sum())
@@ -185,14 +193,22 @@ def propagate(field: Field, g: Graph, rounds: int, damping: float, evidence: np.
     both = np.concatenate([theta, theta.transpose(0, 2, 1)])
     m, turned = np.zeros((len(src), y)), np.roll(np.arange(len(src)), len(pairs))
     belief = unary.copy()
-    for _ in range(rounds if len(pairs) else 0):
-        out = (belief[src] - m[turned])[:, :, None] + both
+    doc = np.array(g.doc, np.int64)[src] if len(src) else src
+    act = np.arange(len(src))
+    for _ in range(0 if not len(pairs) else 2 * n + 50 if rounds is None else rounds):
+        out = (belief[src[act]] - m[turned[act]])[:, :, None] + both[act]
         top = out.max(1, keepdims=True)
         new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-        m = damping * m + (1 - damping) * (new - new.max(1, keepdims=True))
-        belief = unary.copy()
+        new = damping * m[act] + (1 - damping) * (new - new.max(1, keepdims=True))
+        moved = np.abs(new - m[act]).max(1) > SETTLED
+        m[act] = new
+        nodes, place = np.unique(dst[act], return_inverse=True)
         for k in range(y):
-            belief[:, k] += np.bincount(dst, m[:, k], n)
+            belief[nodes, k] = unary[nodes, k] + np.bincount(place, new[:, k], len(nodes))
+        if rounds is None:
+            act = act[np.isin(doc[act], doc[act[moved]])]
+            if not len(act):
+                break
     post = np.exp(belief - belief.max(1, keepdims=True))
     post /= post.sum(1, keepdims=True)
     joint = np.zeros((len(pairs), y, y))
@@ -246,7 +262,7 @@ def fit(texts: list[str], how: Settings) -> Field:
 
 
 def train(docs: DataFrame, how: Settings = Settings()) -> Field:
-    """Fit on the ``training_docs`` with the smallest hashes among those that hold a digit or an at sign."""
+    """Fit on the ``training_docs`` with the smallest hashes among those that hold a digit or an at sign and are shorter than 20,000 characters."""
     some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("doc_id", "text")
     return fit([r["text"] for r in hashed_sample(some, F.col("doc_id"), how.training_docs, "pii").collect()], how)
 
@@ -260,7 +276,7 @@ def find(field: Field, texts: list[str | None], how: Settings = Settings()) -> l
         given = base_labels(g, base)
         evidence = np.zeros((len(given), len(LABELS)))
         evidence[np.flatnonzero(given), given[given > 0]] = how.evidence
-        post = propagate(field, g, how.rounds, how.damping, evidence)[0]
+        post = propagate(field, g, None, how.damping, evidence)[0]
         for k in np.flatnonzero(post[:, 0] < 1 - how.least):
             kind = int(post[k, 1:].argmax())
             if post[k, kind + 1] < how.least:

@@ -69,6 +69,19 @@ def test_distant_mentions_pull_a_token_along():
     assert P.shown(base) == "phone:4:21" and P.shown(spans) == "phone:4:21,phone:34:50"
 
 
+def test_evidence_reaches_dozens_of_distant_repeats():
+    y = len(P.LABELS)
+    field = P.Field(np.zeros((1 << 12, y)), np.zeros((y, y)), np.eye(y) * 9)
+    text = "Ask +49-30-1234567-88 first. " + "Then it is 49-30-1234567-88 again. " * 60
+    base, spans = P.find(field, [text, "See 12 here and 12 there."])[0]
+    assert len(base) == 1 and len(spans) == 61 and all(kind == 3 for _, kind, _ in spans)
+
+
+def test_chain_edges_join_all_neighbouring_candidates():
+    g = P.build_graph([" ".join(str(k) for k in range(30)) + " word 7"], 12)
+    assert g.chain == [(k, k + 1) for k in range(29)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "q"), (2, "", "q"), (3, "mail a@b.cd " * 3, "q"), (None, "1" * 50_000 + "@" * 1000, "q"), (5, "x" * 100_000 + " a@b.cd", None), (5, "x" * 100_000 + " a@b.cd", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
