@@ -125,3 +125,9 @@ def test_responses(spark):
     assert one(spark, responses.decoded_file(F.lit("%"))) is None
     assert one(spark, responses.error_json(F.lit("layout"))) == '{"error":{"code":"layout","message":"the page has an unknown layout"}}'
     assert one(spark, responses.within_bytes(F.lit("é"), 1)) is None
+
+
+@pytest.mark.parametrize("path", ["//p", "//li[2]", "//ul/LI/a", "//img[@src]"])
+def test_paths_to_elements_without_rows_raise(path):
+    with pytest.raises(ValueError, match="no"):
+        html.parse_path(path)
