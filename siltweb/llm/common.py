@@ -61,14 +61,52 @@ def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def _joined(a, b):
+    """Distinct ids of an edge list and the smallest that each reaches by it."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60, edges_per_task: int = 200_000) -> DataFrame:
     """Smallest reachable id of every node in ``edges(a, b)``: columns ``node, component``.
 
-    Alternates neighbour-minimum with pointer jumping, so long chains take a logarithmic number of rounds. Every step is
+    Tasks first replace their edges by one from each node to the smallest that it reaches by them. Rounds over what is
+    left alternate neighbour-minimum with pointer jumping, so long chains take a logarithmic number of them. Every step is
     a pre-aggregated minimum; no node's neighbours are gathered. Rounds go on until nothing changes.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.where("a is not null and b is not null and a <> b").distinct(), f"{name}-edges")
+    schema = "node long, component long"
+
+    def contract(batches):
+        import numpy as np
+        import pandas as pd
+
+        held, a, b = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= edges_per_task:
+                a, b = _joined(np.concatenate([a, *(x["a"] for x in held)]), np.concatenate([b, *(x["b"] for x in held)]))
+                held = []
+        nodes, low = _joined(np.concatenate([a, *(x["a"] for x in held)]), np.concatenate([b, *(x["b"] for x in held)]))
+        yield pd.DataFrame({"node": nodes, "component": low})
+
+    edges = materialize(edges.select("a", "b").where("a is not null and b is not null and a <> b"), f"{name}-edges")
+    tasks = max(1, -(-edges.count() // edges_per_task))
+    local = materialize(edges.coalesce(tasks).mapInPandas(contract, schema), f"{name}-local")
+    if tasks == 1:
+        return local
+    edges = local.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), f"{name}-0")
     for k in range(max_rounds):
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("low"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -181,60 +181,90 @@ def fit(texts: list[str], langs: list[str], how: Training) -> Field:
 
 
 def train(docs: DataFrame, how: Training = Training()) -> Field:
-    """Fit on a bounded sample of the labelled rows that aren't held out: of each language, the ``docs_per_language`` with the smallest hashes."""
+    """Fit on a bounded sample of the labelled rows that aren't held out: of each language, the ``docs_per_language`` with the smallest hashes.
+
+    Counts of languages come first, then one pass takes each language's share of small hashes and cuts it to the number.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    langs = known.groupBy("lang").count().orderBy("lang").collect()
-    texts, names = [], []
-    for row in langs:
-        share = min(1.0, 1.5 * how.docs_per_language / row["count"])
-        draw = F.crc32(F.concat(F.lit("train:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / float(1 << 32)
-        some = known.where((F.col("lang") == row["lang"]) & (draw < share)).select("text").orderBy(draw, "text").limit(how.docs_per_language)
-        got = [r["text"] for r in some.collect()]
-        texts += got
-        names += [row["lang"]] * len(got)
-    return fit(texts, names, how)
-
-
-def label_texts(field: Field, texts: list[str | None], words_at_once: int = 600_000, cached: int = 300_000) -> Iterator[tuple[int, str, float]]:
-    """``(index, language, score)`` of each text: the label of the largest mean posterior over its words, ties to the first label."""
-    field_move = np.exp(field.move).astype(np.float32)
-    known: dict[str, int] = {}
-    rows = np.zeros((0, len(field.labels)), np.float32)
-    waiting: list[tuple[int, list[str]]] = []
-    held = 0
-
-    def flush():
-        nonlocal rows
-        words = [w for _, ws in waiting for w in ws]
-        if len(known) > cached:
-            known.clear()
-            rows = rows[:0]
-        base = len(known)
-        index = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        if len(known) > base:
-            fresh = list(known)[base:]
-            raw = field.emissions(fresh)
-            rows = np.concatenate([rows, np.exp(raw - raw.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-12)])
-        lengths = np.array([len(ws) for _, ws in waiting])
-        post = posteriors(rows[index], lengths, field_move)
-        first = np.cumsum(lengths) - lengths
-        mean = np.add.reduceat(post, first, axis=0, dtype=np.float64) / lengths[:, None]
-        best = mean.argmax(1)
-        for (i, _), k, m in zip(waiting, best, mean):
-            yield i, field.labels[k], float(min(1.0, m[k]))
+    draw = F.crc32(F.concat(F.lit("train:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    share = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), 1.5 * how.docs_per_language / F.col("count")).alias("share"))
+    few = known.select("lang", "text", draw.alias("draw")).join(F.broadcast(share), "lang").where(F.col("draw") < F.col("share") * float(1 << 32))
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    some = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= how.docs_per_language)
+    rows = some.orderBy("lang", "place").select("lang", "text").collect()
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows], how)
+
+
+class _Rows:
+    """Emission rows of words, remembered up to a bounded number of words."""
+
+    def __init__(self, field: Field, most: int):
+        self.field, self.most = field, most
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(field.labels)), np.float32)
+
+    def full(self) -> bool:
+        return len(self.known) > self.most
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.rows = self.rows[:0]
+
+    def index(self, words: list[str], at_once: int = 10_000) -> np.ndarray:
+        known, base = self.known, len(self.known)
+        out = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+        fresh = list(known)[base:] if len(known) > base else []
+        for k in range(0, len(fresh), at_once):  # their n-grams take most memory
+            raw = self.field.emissions(fresh[k : k + at_once])
+            self.rows = np.concatenate([self.rows, np.exp(raw - raw.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-12)])
+        return out
+
+
+def _word_runs(text: str, chars: int) -> Iterator[list[str]]:
+    """The words of a text, those of some ``chars`` at a time."""
+    at = 0
+    while at < len(text):
+        end = at + chars
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end].split()
+        at = end
+
+
+def label_texts(field: Field, texts: Iterable[str | None], words_at_once: int = 300_000, cached: int = 100_000) -> Iterator[tuple[int, str, float]]:
+    """``(index, language, score)`` of each text: the label of the largest mean posterior over its words, ties to the first label.
+
+    Words are turned into numbers as texts come, so what is held of a text is four bytes a word. Chains of like lengths
+    wait for each other and advance together, some ``words_at_once``; a longer text is a chain alone.
+    """
+    move, rows = np.exp(field.move).astype(np.float32), _Rows(field, cached)
+    waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+    held: dict[int, int] = {}
+
+    def flush(classes: list[int]):
+        for c in classes:
+            some = waiting.pop(c)
+            held.pop(c)
+            lengths = np.array([len(x) for _, x in some])
+            post = posteriors(rows.rows[np.concatenate([x for _, x in some])], lengths, move)
+            mean = np.add.reduceat(post, np.cumsum(lengths) - lengths, axis=0, dtype=np.float64) / lengths[:, None]
+            for (i, _), k, m in zip(some, mean.argmax(1), mean):
+                yield i, field.labels[k], float(min(1.0, m[k]))
 
     for i, text in enumerate(texts):
         if not isinstance(text, str) or not field.labels or not _LETTER.search(text):
             yield i, UNDETERMINED, 0.0
             continue
-        words = text.split()
-        waiting.append((i, words))
-        held += len(words)
-        if held >= words_at_once:
-            yield from flush()
-            waiting, held = [], 0
-    if waiting:
-        yield from flush()
+        if rows.full():
+            yield from flush(list(waiting))
+            rows.clear()
+        index = np.concatenate([rows.index(w) for w in _word_runs(text, 400_000)])
+        c = len(index).bit_length()
+        waiting.setdefault(c, []).append((i, index))
+        held[c] = held.get(c, 0) + len(index)
+        if held[c] >= words_at_once:
+            yield from flush([c])
+    yield from flush(list(waiting))
 
 
 def identify(docs: DataFrame, field: Field) -> DataFrame:
@@ -243,19 +273,20 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     The whole text is labelled word by word; a document's language is the label with the largest mean posterior, which is
     its score; ties go to the alphabetically first. Null texts and those without letters are ``und`` with score 0, and so
     is everything where there was nothing to learn from. Repeated rows are labelled alike. An empty table gives no rows.
+    Only texts are looked at; all other columns pass as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kept = docs.drop("lang_pred", "score")
     schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [""] * len(batch), [0.0] * len(batch)
-            for i, lang, score in label_texts(shared.value, list(batch["text"].array)):
+            langs, scores = [""] * batch.num_rows, [0.0] * batch.num_rows
+            for i, lang, score in label_texts(shared.value, (t.as_py() for t in batch.column("text"))):
                 langs[i], scores[i] = lang, score
-            yield batch.assign(lang_pred=langs, score=scores)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

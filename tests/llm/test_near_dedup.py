@@ -1,5 +1,7 @@
 """Near-duplicate classes against comparing all pairs."""
 
+import hashlib
+
 import numpy as np
 
 from siltweb.llm import near_dedup as N
@@ -57,9 +59,10 @@ def test_samples_agree_as_often_as_sets_are_similar():
         assert abs(agree - N.weighted_jaccard(a, b)) < 0.1
 
 
-def signed(reps, sketches, keys):
+def signed(texts, sketches, keys):
     """Rows as ``signatures`` gives them, for texts whose buckets and samples are set by hand."""
-    return lambda docs, idf, how: docs.sparkSession.createDataFrame([(r, f"t{r}", [int(k) for k in keys[r]], np.asarray(sketches[r], np.uint32).tobytes()) for r in reps], "doc_id long, text_key string, bands array<long>, sketch binary")
+    rows = [(r, hashlib.md5(t.encode()).hexdigest(), [int(k) for k in keys[r]], np.asarray(sketches[r], np.uint32).tobytes(), 1.0, 1.0) for r, t in texts.items()]
+    return lambda docs, idf, how: docs.sparkSession.createDataFrame(rows, "doc_id long, text_key string, bands array<long>, sketch binary, total double, words double")
 
 
 def drifting(n, step, size, tag):
@@ -99,3 +102,53 @@ def test_chain_whose_buckets_all_hold_the_same_hub(spark, monkeypatch):
     assert set(want.values()) == {1}
     got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs, N.NearDup(block=4)).collect()}
     assert got == want
+
+
+def test_crowded_table_matches_all_pairs(spark):
+    # one template whose copies drift around the threshold, rows that only share a passage, and repeats of some
+    rng = np.random.default_rng(3)
+    words = np.array([f"v{k}" for k in range(400)])
+    base, passage = rng.choice(words, 80), rng.choice(words, 30)
+    texts = []
+    for k in range(900):
+        own = base.copy() if k % 3 else np.concatenate([passage, rng.choice(words, 40)])
+        spots = rng.permutation(len(own))[: int(rng.integers(0, 6))]
+        own[spots] = rng.choice(words, len(spots))
+        texts.append(" ".join(own))
+    texts += texts[:60]
+    how = N.NearDup(block=64, text_block=32)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs, how).collect()}
+
+    known = N._Hashes()
+    hashed = [N.word_hashes(t, known) for t in texts]
+    df = np.zeros(1 << how.df_bits)
+    for w in hashed:
+        df[np.unique(w >> np.uint64(64 - how.df_bits))] += 1
+    idf = 1.0 + np.log((1.0 + len(texts)) / (1.0 + df))
+    sets = [dict(zip(*(x.tolist() for x in N.shingles(w, how.words, idf, how.df_bits)))) for w in hashed]
+    holders: dict[int, list[int]] = {}
+    for k, s in enumerate(sets):
+        for key in s:
+            holders.setdefault(key, []).append(k)
+    both = np.zeros((len(texts), len(texts)))
+    for key, who in holders.items():
+        v = np.array([sets[k][key] for k in who])
+        both[np.ix_(who, who)] += np.minimum(v[:, None], v)
+    total = np.diag(both)
+    linked = both >= 0.8 * (total[:, None] + total - both) - 1e-9
+    label = np.arange(len(texts))
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        if (new == label).all():
+            break
+        label = new
+    assert 20 < len(set(label)) < 700
+    assert [got[k] for k in range(len(texts))] == label.tolist()
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, long), (None, long + " more"), (5, "one text"), (5, "quite another text"), (9, "one text")]
+    got = sorted(((r["doc_id"], r["class_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(5, 5), (5, 5), (9, 5), (None, None), (None, None)]
