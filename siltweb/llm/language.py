@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -210,14 +211,18 @@ class _Rows:
         self.known.clear()
         self.rows = self.rows[:0]
 
-    def index(self, words: list[str], at_once: int = 10_000) -> np.ndarray:
-        known, base = self.known, len(self.known)
-        out = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
-        fresh = list(known)[base:] if len(known) > base else []
+    def index(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+
+    def emitted(self, index: np.ndarray, at_once: int = 10_000) -> np.ndarray:
+        fresh = list(islice(reversed(self.known), len(self.known) - len(self.rows)))[::-1]
+        new = [self.rows]
         for k in range(0, len(fresh), at_once):  # their n-grams take most memory
             raw = self.field.emissions(fresh[k : k + at_once])
-            self.rows = np.concatenate([self.rows, np.exp(raw - raw.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-12)])
-        return out
+            new.append(np.exp(raw - raw.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-12))
+        self.rows = np.concatenate(new) if len(new) > 1 else self.rows
+        return self.rows[index]
 
 
 def _word_runs(text: str, chars: int) -> Iterator[list[str]]:
@@ -231,7 +236,7 @@ def _word_runs(text: str, chars: int) -> Iterator[list[str]]:
         at = end
 
 
-def label_texts(field: Field, texts: Iterable[str | None], words_at_once: int = 300_000, cached: int = 100_000) -> Iterator[tuple[int, str, float]]:
+def label_texts(field: Field, texts: Iterable[str | None], words_at_once: int = 300_000, cached: int = 250_000) -> Iterator[tuple[int, str, float]]:
     """``(index, language, score)`` of each text: the label of the largest mean posterior over its words, ties to the first label.
 
     Words are turned into numbers as texts come, so what is held of a text is four bytes a word. Chains of like lengths
@@ -246,7 +251,7 @@ def label_texts(field: Field, texts: Iterable[str | None], words_at_once: int =
             some = waiting.pop(c)
             held.pop(c)
             lengths = np.array([len(x) for _, x in some])
-            post = posteriors(rows.rows[np.concatenate([x for _, x in some])], lengths, move)
+            post = posteriors(rows.emitted(np.concatenate([x for _, x in some])), lengths, move)
             mean = np.add.reduceat(post, np.cumsum(lengths) - lengths, axis=0, dtype=np.float64) / lengths[:, None]
             for (i, _), k, m in zip(some, mean.argmax(1), mean):
                 yield i, field.labels[k], float(min(1.0, m[k]))
