@@ -21,8 +21,10 @@ class Mixture:
     temper: float = 0.7
     #: Share of all tokens that the sample should hold.
     budget: float = 0.6
-    sweeps: int = 20
+    #: Sweeps until marginals are within the tolerance, or don't get nearer by ``settled`` of it; more raise ``NotMet``. A tolerance of 0 asks for just so many.
+    sweeps: int = 200
     tolerance: float = 1e-4
+    settled: float = 0.02
     seed: str = "mix"
 
 
@@ -50,17 +52,37 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+class NotMet(RuntimeError):
+    """The marginals don't meet their targets after all sweeps."""
+
+
+def _fitted(w: DataFrame, how: Mixture, step, slack: float, name: str) -> DataFrame:
+    """``w`` after sweeps of ``step(w, i, c)`` over the dimensions, each of which leaves ``off{i}``, until none is off by ``slack`` or more, or no sweep brings them nearer."""
+    before = None
+    for k in range(how.sweeps):
+        for i, c in enumerate(CELL):
+            w = step(w.drop(f"off{i}"), i, c)
+        w = materialize(w.coalesce(8), f"{name}-{k}")
+        worst = max((x for x in w.agg(*[F.max(f"off{i}") for i in range(len(CELL))]).first() if x is not None), default=0.0)
+        if worst < slack or before is not None and abs(before - worst) < slack * how.settled:
+            return w  # as near as the cells allow
+        before = worst
+    if slack > 0:
+        raise NotMet(f"{name}: a marginal is still off by {worst} after {how.sweeps} sweeps")
+    return w
+
+
 def rake(cells: DataFrame, how: Mixture) -> DataFrame:
     """``cells`` with ``weight``: shares of the whole whose marginals meet the targets as far as the cells allow.
 
     A sweep divides each cell by its marginal and multiplies by the target, one dimension after the other. Marginals are
     pre-aggregated sums joined back; nothing is gathered, however many sources there are. Cells without tokens weigh 0.
+    Sweeps go on until all marginals meet their targets, or stay where they are because no weights of these cells do.
     """
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
     w = materialize(cells.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), F.lit(0.0))), "cells")
-    aims = {}
-    for d, c in zip(DIMENSIONS, CELL):
+    for i, (d, c) in enumerate(zip(DIMENSIONS, CELL)):
         own = w.where("tokens > 0").groupBy(c).agg(F.sum("weight").alias("own"))
         if d in how.targets:
             given = spark.createDataFrame([(str(k), float(v)) for k, v in how.targets[d].items()], f"{c} string, aim double")
@@ -68,17 +90,15 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
         else:
             own = own.withColumn("aim", F.pow("own", F.lit(how.temper)))
         norm = own.agg(F.sum("aim").alias("norm"))
-        aims[c] = materialize(own.crossJoin(F.broadcast(norm)).select(c, F.coalesce(F.try_divide("aim", "norm"), F.lit(0.0)).alias("aim")), "aims")
-    for k in range(how.sweeps):
-        for i, c in enumerate(CELL):
-            now = w.groupBy(c).agg(F.sum("weight").alias("now"))
-            factor = now.join(aims[c], c).select(c, F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0).alias("factor"), F.abs(F.col("aim") - F.col("now")).alias("off" + str(i)))
-            w = w.drop("off" + str(i)).join(factor, c, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        w = materialize(w.coalesce(8), f"raked-{k}")
-        worst = w.agg(*[F.max(f"off{i}").alias(f"m{i}") for i in range(len(CELL))]).first()
-        if max([x for x in worst if x is not None], default=0.0) < how.tolerance:
-            break
-    return w.select(*CELL, "tokens", "weight")
+        aims = own.crossJoin(F.broadcast(norm)).select(c, F.coalesce(F.try_divide("aim", "norm"), F.lit(0.0)).alias(f"aim{i}"))
+        w = w.join(aims, c, "left")
+
+    def step(w: DataFrame, i: int, c: str) -> DataFrame:
+        now = w.groupBy(c).agg(F.sum("weight").alias("now"))
+        moved = w.join(now, c, "left").withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(f"aim{i}", "now"), F.lit(0.0)))
+        return moved.withColumn(f"off{i}", F.abs(F.col(f"aim{i}") - F.col("now"))).drop("now")
+
+    return _fitted(materialize(w, "aimed"), how, step, how.tolerance, "raked").select(*CELL, "tokens", "weight")
 
 
 def reachable(own: DataFrame, budget: float) -> DataFrame:
@@ -106,48 +126,56 @@ def calibrate(cells: DataFrame, how: Mixture) -> DataFrame:
     if budget <= 0:
         return cells.withColumn("probability", F.lit(0.0))
     w = cells.withColumn("expected", F.least(F.col("tokens").cast("double"), F.col("weight") * float(budget)))
-    goals = {}
-    for c in CELL:
+    for i, c in enumerate(CELL):
         own = materialize(cells.where("weight > 0").groupBy(c).agg(F.sum("tokens").cast("double").alias("own"), F.sum("weight").alias("aim")), "own")
-        goals[c] = materialize(reachable(own, float(budget)).select(c, "goal"), "goals")
+        w = w.join(reachable(own, float(budget)).select(c, F.col("goal").alias(f"goal{i}")), c, "left")
     whole = F.col("expected") >= F.col("tokens") * (1 - 1e-9)
-    for k in range(how.sweeps):
-        for i, c in enumerate(CELL):
-            now = w.groupBy(c).agg(F.sum("expected").alias("now"), F.sum(F.when(whole, F.col("expected")).otherwise(0.0)).alias("fixed")).join(goals[c], c)
-            now = now.select(c, "now", "fixed", "goal", F.abs(F.col("goal") - F.col("now")).alias(f"off{i}"))
-            less = F.col("expected") * F.col("goal") / F.col("now")
-            more = F.when(whole, F.col("expected")).otherwise(F.col("expected") * F.coalesce(F.try_divide(F.col("goal") - F.col("fixed"), F.col("now") - F.col("fixed")), F.lit(1.0)))
-            new = F.when(F.col("now") > F.col("goal") * (1 + 1e-9), less).when(F.col("now") > 0, more).otherwise(0.0)
-            new = F.when(new >= F.col("tokens") * (1 - 1e-9), F.col("tokens").cast("double")).otherwise(new)
-            w = w.drop(f"off{i}").join(now, c, "left").withColumn("expected", F.coalesce(new, F.lit(0.0))).drop("now", "fixed", "goal")
-        w = materialize(w.coalesce(8), f"fitted-{k}")
-        worst = w.agg(*[F.max(f"off{i}").alias(f"m{i}") for i in range(len(CELL))]).first()
-        if max([x for x in worst if x is not None], default=0.0) < how.tolerance * budget:
-            break
+
+    def step(w: DataFrame, i: int, c: str) -> DataFrame:
+        goal = F.col(f"goal{i}")
+        now = w.groupBy(c).agg(F.sum("expected").alias("now"), F.sum(F.when(whole, F.col("expected")).otherwise(0.0)).alias("fixed"))
+        less = F.col("expected") * goal / F.col("now")
+        more = F.when(whole, F.col("expected")).otherwise(F.col("expected") * F.coalesce(F.try_divide(goal - F.col("fixed"), F.col("now") - F.col("fixed")), F.lit(1.0)))
+        new = F.when(F.col("now") > goal * (1 + 1e-9), less).when(F.col("now") > 0, more).otherwise(0.0)
+        new = F.when(new >= F.col("tokens") * (1 - 1e-9), F.col("tokens").cast("double")).otherwise(new)
+        moved = w.join(now, c, "left").withColumn(f"off{i}", F.abs(goal - F.col("now")))
+        return moved.withColumn("expected", F.when(goal.isNull(), 0.0).otherwise(F.coalesce(new, F.lit(0.0)))).drop("now", "fixed")
+
+    w = _fitted(materialize(w, "goals"), how, step, how.tolerance * budget, "fitted")
     expected = w.agg(F.sum("expected")).first()[0] or 1.0
     return w.select(*CELL, "tokens", (F.col("expected") / expected).alias("weight"), F.coalesce(F.try_divide("expected", F.col("tokens").cast("double")), F.lit(0.0)).alias("probability"))
 
 
+ADDED = (*CELL, "cell_tokens", "cell_weight", "cell_probability")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """``docs`` with the cell and the tokens of each row."""
+    labels = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("source", "lang")] + [topic_of(F.col("text"))]
+    return docs.drop(*ADDED).withColumns(dict(zip(CELL, labels))).withColumn("cell_tokens", tokens_of(F.col("text")))
+
+
+def sampled(own: DataFrame, how: Mixture = Mixture()) -> DataFrame:
+    """The rows of a labelled table that the mixture takes, with its cells' weights and probabilities."""
+    cells = materialize(own.groupBy(*CELL).agg(F.sum("cell_tokens").alias("tokens")), "cells")
+    cells = materialize(calibrate(rake(cells, how), how), "calibrated")
+    out = own.join(cells.select(*CELL, F.col("weight").alias("cell_weight"), F.col("probability").alias("cell_probability")), list(CELL))
+    return out.where(uniform(F.col("doc_id"), how.seed) < F.col("cell_probability"))
+
+
 def mix(docs: DataFrame, how: Mixture = Mixture()) -> DataFrame:
     """Sample ``docs``: the kept rows with all their columns, then ``source_cell, lang_cell, topic_cell, cell_tokens, cell_weight, cell_probability``.
 
     Null source or lang form a value of their own, ``unknown``. Null and blank texts have no tokens, so their cells weigh
     nothing and they are not sampled. Repeated rows share a doc_id and are kept or left together; a null doc_id draws as
     an empty one. Ties cannot arise, as a row is kept where its own number is below its probability. An empty table gives
-    an empty result. A column of ``docs`` with one of the new names is replaced.
+    an empty result. A column of ``docs`` with one of the new names is replaced. The labelled rows are written once, so
+    that no text is looked at twice.
     """
-    labels = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("source", "lang")] + [topic_of(F.col("text"))]
-    own = docs.drop(*CELL, "cell_tokens", "cell_weight", "cell_probability").withColumns(dict(zip(CELL, labels)))
-    tokens = tokens_of(F.col("text"))
-    cells = own.groupBy(*CELL).agg(F.sum(tokens).alias("tokens"))
-    cells = materialize(calibrate(rake(materialize(cells, "cells"), how), how), "calibrated")
-    cells = cells.select(*CELL, F.col("weight").alias("cell_weight"), F.col("probability").alias("cell_probability"))
-    out = own.withColumn("cell_tokens", tokens).join(cells, list(CELL))
-    kept = out.where(uniform(F.col("doc_id"), how.seed) < F.col("cell_probability"))
-    return kept.select(*docs.drop(*CELL, "cell_tokens", "cell_weight", "cell_probability").columns, *CELL, "cell_tokens", "cell_weight", "cell_probability")
+    return sampled(materialize(labelled(docs), "labelled"), how).select(*docs.drop(*ADDED).columns, *ADDED)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sampled document of the whole table: its cell, tokens, expected share of the sample and probability."""
-    out = mix(table(spark, sf_dir, "documents"))
+    out = sampled(materialize(labelled(table(spark, sf_dir, "documents")).select("doc_id", *CELL, "cell_tokens"), "labelled"))
     return out.select("doc_id", F.col("source_cell").alias("source"), F.col("lang_cell").alias("lang"), F.col("topic_cell").alias("topic"), F.col("cell_tokens").alias("tokens"), F.col("cell_weight").alias("weight"), F.col("cell_probability").alias("probability"))

@@ -69,3 +69,18 @@ def test_sample_marginals_around_cells_taken_whole(spark):
     assert abs(sum(v for k, v in expected.items() if k[0] == "a") / total - 0.4) < 1e-3
     assert abs(sum(v for k, v in expected.items() if k[1] == "en") / total - 0.4) < 1e-3
     assert all(abs(r["weight"] - expected[tuple(r)[:2]] / total) < 1e-9 for r in out)
+
+
+def test_targets_far_from_the_tokens_are_met_or_reported(spark):
+    cells = [("a", "en", "x", 999_000), ("a", "de", "x", 500), ("b", "en", "x", 700), ("b", "de", "x", 300)]
+    df = spark.createDataFrame(cells, "source_cell string, lang_cell string, topic_cell string, tokens long")
+    how = M.Mixture(targets={"source": {"a": 0.001, "b": 0.999}}, budget=0.6)
+    out = M.calibrate(M.rake(df, how), how).collect()
+    # b gives all it has, and a makes up for the rest
+    assert all(r["probability"] > 0.999 for r in out if r["source_cell"] == "b")
+    assert abs(sum(r["tokens"] * r["probability"] for r in out) - 0.6 * 1_000_500) < 600
+    try:
+        M.rake(df, M.Mixture(targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, sweeps=1)).count()
+    except M.NotMet:
+        return
+    raise AssertionError("no report")
