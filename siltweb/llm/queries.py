@@ -22,4 +22,5 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op6_nearest": ann.ORACLE,
     "op8_embedding_dedup": embed_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_groups, materialize, table
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -22,6 +22,8 @@ class Repeats:
     window: int = 35
     #: Words of an anchor: each window is filed under its anchor of the smallest hash.
     anchor: int = 8
+    #: Passages under one anchor that make up one automaton; windows of anchors with more are counted by hash.
+    passages: int = 2000
     #: Up to this many documents with repeated anchors are named to every task; more are joined by shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -114,6 +116,97 @@ def _anchor_rows(how: Repeats):
     return run
 
 
+class Automaton:
+    """Suffix automaton of word sequences, each state with how often its words occur: a sequence counts as often as the corpus holds it."""
+
+    def __init__(self, sequences: list[list[bytes]], times: list[int]):
+        self.next: list[dict[bytes, int]] = [{}]
+        self.link, self.length, self.count = [-1], [0], [0]
+        for words, n in zip(sequences, times):
+            last = 0
+            for word in words:
+                last = self._extend(last, word)
+                self.count[last] += n
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
+            self.count[self.link[s]] += self.count[s]
+
+    def _state(self, length: int, link: int, moves: dict[bytes, int]) -> int:
+        self.next.append(moves)
+        self.link.append(link)
+        self.length.append(length)
+        self.count.append(0)
+        return len(self.link) - 1
+
+    def _split(self, p: int, word: bytes, q: int) -> int:
+        """The state of p's words with ``word``, which q holds among longer ones."""
+        if self.length[q] == self.length[p] + 1:
+            return q
+        own = self._state(self.length[p] + 1, self.link[q], self.next[q].copy())
+        self.link[q] = own
+        while p >= 0 and self.next[p].get(word) == q:
+            self.next[p][word] = own
+            p = self.link[p]
+        return own
+
+    def _extend(self, last: int, word: bytes) -> int:
+        if word in self.next[last]:
+            return self._split(last, word, self.next[last][word])
+        new, p = self._state(self.length[last] + 1, 0, {}), last
+        while p >= 0 and word not in self.next[p]:
+            self.next[p][word] = new
+            p = self.link[p]
+        if p >= 0:
+            self.link[new] = self._split(p, word, self.next[p][word])
+        return new
+
+    def matches(self, words: list[bytes]) -> Iterator[int]:
+        """At each word, the length of the longest sequence ending there that occurs twice or more."""
+        s, n = 0, 0
+        for word in words:
+            while s and word not in self.next[s]:
+                s = self.link[s]
+                n = self.length[s]
+            if word in self.next[s]:
+                s, n = self.next[s][word], n + 1
+            while s and self.count[s] < 2:
+                s = self.link[s]
+                n = self.length[s]
+            yield n
+
+
+def _passage_rows(how: Repeats):
+    """The words of passages, as they stand in the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, spots in zip(batch["text"].array, batch["spots"].array):
+                words = text.encode("utf-8", "surrogatepass").split()
+                rows += [(s["anchor"], s["context"], s["times"], b" ".join(words[s["first"] : s["first"] + s["windows"] + how.window - 1])) for s in spots]
+            yield pd.DataFrame(rows, columns=["anchor", "context", "times", "words"])
+
+    return run
+
+
+def _streamed(how: Repeats):
+    """``anchor, context, part``: each anchor's passages are streamed through their automaton; a match of a window's length sets that window's bit."""
+
+    def stream(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        texts, times, parts = frame["words"].to_numpy(), frame["times"].to_numpy(), np.zeros(len(frame), np.int64)
+        for a, b in zip(starts[:-1], starts[1:]):
+            passages = [t.split() for t in texts[a:b]]
+            automaton = Automaton(passages, times[a:b].tolist())
+            for k, words in enumerate(passages, a):
+                bits = 0
+                for end, n in enumerate(automaton.matches(words), 1):
+                    if n >= how.window:
+                        bits |= 1 << (end - how.window)
+                parts[k] = bits
+        return frame[["anchor", "context"]].assign(part=parts)
+
+    return stream
+
+
 def _window_rows(how: Repeats):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, powers = _Hashes(), _Powers()
@@ -166,10 +259,12 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), with_text: bool =
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``) of every row: words in a window that occurs again are removed.
 
     1. Every window is filed under the anchor of the smallest hash in it, so equal windows share one. Neighbouring windows
-       with one anchor make one row; its context hash covers all their words. Rows are about a fourteenth of the words.
-    2. Anchors that occur once leave. Rows of one anchor with equal contexts repeat in all their windows.
-    3. Where an anchor has other contexts too, one row of each context is unfolded into its windows, which are counted
-       by hash; so edges of passages are found to the word.
+       with one anchor make one passage; its context hash covers all their words. There is one for fourteen words or so.
+    2. Anchors that occur once leave. Passages of one anchor with equal contexts repeat in all their windows.
+    3. Where an anchor has passages with other contexts too, one of each context goes into the anchor's suffix automaton,
+       counted as often as it occurs, and all are streamed through it: matching statistics give the longest repeated
+       sequence that ends at each word. Those of a window's length or more are the maximal spans, found to the word.
+       Anchors with more passages than an automaton takes have their windows counted by hash.
     4. The windows found go back to their documents as one bit each, and words that one covers are removed.
 
     Counts are pre-aggregated and joins are by hash, so a passage in a third of all documents is counted where it lies.
@@ -184,20 +279,29 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), with_text: bool =
 
     spot = F.min(F.struct("doc_id", "print", "first", "windows")).alias("spot")
     contexts = materialize(rows_again.groupBy("anchor", "context").agg(F.count("*").alias("times"), spot), "contexts")
-    mixed_up = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("anchor")
-    unsure = contexts.join(materialize(mixed_up, "unsure-anchors"), "anchor", "left_semi")
-    per_doc = unsure.select(F.col("spot.doc_id").alias("doc_id"), F.col("spot.print").alias("print"), F.struct("anchor", "context", "times", F.col("spot.first").alias("first"), F.col("spot.windows").alias("windows")).alias("one"))
-    per_doc = materialize(per_doc.groupBy("doc_id", "print").agg(F.collect_list("one").alias("spots")), "spots")
+    mixed_up = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("anchor", "n")
+    unsure = materialize(contexts.join(materialize(mixed_up, "unsure-anchors"), "anchor"), "unsure")
 
     touched = materialize(rows_again.select("doc_id", "print").distinct(), "touched")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["print"] == b["print"])
     named = F.broadcast(touched) if touched.count() <= how.broadcast_ids else touched
     texts = materialize(own.join(named, same(own, named), "left_semi"), "touched-texts")
     texts_once = texts.dropDuplicates(["doc_id", "print"])
-    opened = texts_once.join(per_doc, same(texts_once, per_doc)).select("text", "spots")
-    windows = materialize(opened.mapInPandas(_window_rows(how), "window long, anchor long, context long, times long, place int"), "windows")
-    twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    partly = windows.join(materialize(twice, "repeated-windows"), "window", "left_semi").groupBy("anchor", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
+
+    def opened(some: DataFrame) -> DataFrame:
+        spots = some.select(F.col("spot.doc_id").alias("doc_id"), F.col("spot.print").alias("print"), F.struct("anchor", "context", "times", F.col("spot.first").alias("first"), F.col("spot.windows").alias("windows")).alias("one"))
+        spots = materialize(spots.groupBy("doc_id", "print").agg(F.collect_list("one").alias("spots")), "spots")
+        return texts_once.join(spots, same(texts_once, spots)).select("text", "spots")
+
+    passages = opened(unsure.where(F.col("n") <= how.passages)).mapInPandas(_passage_rows(how), "anchor long, context long, times long, words binary")
+    partly = map_groups(passages, ["anchor"], _streamed(how), "anchor long, context long, part long").where("part <> 0")
+    many = unsure.where(F.col("n") > how.passages)
+    if not many.isEmpty():
+        windows = materialize(opened(many).mapInPandas(_window_rows(how), "window long, anchor long, context long, times long, place int"), "windows")
+        twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+        counted = windows.join(materialize(twice, "repeated-windows"), "window", "left_semi").groupBy("anchor", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
+        partly = partly.union(counted)
+    partly = materialize(partly, "partly")
     marks = contexts.join(partly, ["anchor", "context"], "left").select("anchor", "context", F.when(F.col("times") > 1, F.expr("shiftleft(1L, spot.windows) - 1")).otherwise(F.col("part")).alias("mask"))
     marks = materialize(marks.where("mask is not null"), "marks")
     hits = rows_again.join(marks, ["anchor", "context"]).select("doc_id", "print", F.struct("first", "mask").alias("hit"))
@@ -211,3 +315,17 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), with_text: bool =
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words from documents),
+windows as (select doc_id, i, array_to_string(words[i : i + 34], ' ') win from texts, unnest(range(1, len(words) - 33)) t(i)),
+repeated as (select win from windows group by win having count(*) > 1),
+covered as (select distinct doc_id, unnest(range(i, i + 35)) p from windows semi join repeated using (win)),
+placed as (select doc_id, unnest(words) word, generate_subscripts(words, 1) p from texts),
+kept as (
+  select placed.doc_id, count(covered.p) n_removed, string_agg(word, ' ' order by placed.p) filter (where covered.p is null) kept
+  from placed left join covered on placed.doc_id = covered.doc_id and placed.p = covered.p group by placed.doc_id)
+select doc_id, len(words) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256
+from texts left join kept using (doc_id)
+"""

@@ -55,3 +55,27 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, print int")
     assert result(S.remove_repeats(docs)) == brute(rows, 35)
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_matching_statistics_against_counting():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [[b"abc"[k : k + 1] for k in (rng.randrange(3) for _ in range(rng.randrange(1, 30)))] for _ in range(rng.randrange(1, 5))]
+        times = [rng.choice((1, 1, 2)) for _ in texts]
+        seen = Counter()
+        for words, n in zip(texts, times):
+            for i in range(len(words)):
+                for j in range(i + 1, len(words) + 1):
+                    seen[tuple(words[i:j])] += n
+        automaton = S.Automaton(texts, times)
+        for words in texts:
+            want = [max((n for n in range(1, e + 1) if seen[tuple(words[e - n : e])] > 1), default=0) for e in range(1, len(words) + 1)]
+            assert list(automaton.matches(words)) == want
+
+
+def test_anchors_with_more_passages_than_an_automaton_takes(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert result(S.remove_repeats(docs, S.Repeats(window=12, anchor=3, passages=4))) == brute(rows, 12)
