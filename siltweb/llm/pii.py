@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import hashed_sample, table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Secrets have no base pattern: the field alone finds them.
+KINDS = (*BASE_KINDS, "secret")
 LABELS = ("other", *KINDS)
 
 # The base patterns of the contract. The look-behind of `ip` only spares restarts within a run of digits.
@@ -25,6 +27,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Mentions that say themselves what they are; they label the field's examples of secrets, and are not used to find any.
+_NAMED = re.compile(r"""\b(?:token|secret|passw(?:or)?d|api[_-]?key|key|auth)["']?\s?[:=]\s?["']?([A-Za-z0-9+/_-]{16,})""", re.I)
+
+_WORDLIKE = re.compile(r"[A-Za-z0-9+/_-]+")
+
 #: Messages that change by no more have settled.
 SETTLED = 1e-6
 
@@ -91,6 +98,11 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def named_secrets(text: str) -> list[Span]:
+    """Long words with digits and letters that are introduced by name."""
+    return [(m.start(1), 4, m.end(1)) for m in _NAMED.finditer(text) if any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1])]
+
+
 def shown(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -111,8 +123,8 @@ def _shape(token: str) -> str:
     return "".join(f"d{min(len(m[1]), 6)}" if m[1] else "x" if m[2] else m[3] for m in _RUNS.finditer(token[:60]))
 
 
-def build_graph(texts: list[str | None], bits: int) -> Graph:
-    """A chain edge joins neighbouring candidate tokens; a skip edge joins a token to the last one before it in its document that has the same digits, or the same letters if it has none."""
+def build_graph(texts: list[str | None], bits: int, context: bool = True) -> Graph:
+    """Without ``context``, tokens are seen without the words before them. A chain edge joins neighbouring candidate tokens; a skip edge joins a token to the last one before it in its document that has the same digits, or the same letters if it has none."""
     g = Graph([], [], [], [], [], [])
     mask = (1 << bits) - 1
     hashed = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) & mask
@@ -148,10 +160,15 @@ def build_graph(texts: list[str | None], bits: int) -> Graph:
                 names = [f"s:{_shape(token)}", f"c{min(len(own), 20)}", f"luhn{14 <= len(own) <= 19 and luhn(own)}", f"at{token.count('@')}"]
                 names.append(f"ip{len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) < 256 for p in parts)}")
                 names.append(f"dot{'@' in token and '.' in token.rpartition('@')[2]}")
+                runs = min(len(_RUNS.findall(token[:60])), 8)
+                hexed = bool(token) and all(c in "0123456789abcdefABCDEF" for c in token)
+                names += [f"runs{runs}", f"len{min(len(token) // 4, 12)}", f"hex{hexed}:{min(len(token) // 8, 6)}", f"mixed{hexed}:{runs}:{len(token) > 15}:{'@' in token}:{'.' in token}"]
                 names += [f"w{j - k}:{x}" for x in whole]
-                if j == k:
+                if j == k and context:
                     p = flat.rfind(" ", 0, max(0, a - 1)) + 1
+                    q = flat.rfind(" ", 0, max(0, p - 1)) + 1
                     names.append("p:" + flat[p : max(0, a - 1)][-20:].lower().strip(_EDGE))
+                    names.append("q:" + flat[q : max(0, p - 1)][-20:].lower().strip(_EDGE))
                 g.doc.append(i)
                 g.start.append(a)
                 g.end.append(b)
@@ -235,17 +252,22 @@ def base_labels(g: Graph, spans: list[list[Span]]) -> np.ndarray:
 
 
 def fit(texts: list[str], how: Settings) -> Field:
-    """Fit by gradient on the conditional likelihood, with beliefs from loopy propagation for the expectations; the base patterns give the labels."""
+    """Fit by gradient on the conditional likelihood, with beliefs from loopy propagation for the expectations.
+
+    The base patterns and secrets introduced by name give the labels. Every second round of training hides the words
+    before the tokens, so that the field also learns to do without them.
+    """
     y = len(LABELS)
     field = Field(np.zeros((1 << how.bits, y)), np.zeros((y, y)), np.eye(y))
-    g = build_graph(texts, how.bits)
+    graphs = [build_graph(texts, how.bits, context) for context in (True, False)]
+    g = graphs[0]
     if not g.doc:
         return field
-    gold = base_labels(g, [base_spans(t) for t in texts])
+    gold = base_labels(g, [sorted(base_spans(t) + named_secrets(t)) for t in texts])
     seen = np.full_like(field.emit, 1e-2)
     chain, skip = np.array(g.chain, np.int64).reshape(-1, 2), np.array(g.skip, np.int64).reshape(-1, 2)
-    for _ in range(how.epochs):
-        post, on_chain, on_skip, (flat, counts) = propagate(field, g, how.rounds, how.damping)
+    for k in range(how.epochs):
+        post, on_chain, on_skip, (flat, counts) = propagate(field, graphs[k % 2], how.rounds, how.damping)
         error = -post
         error[np.arange(len(gold)), gold] += 1
         each = np.repeat(error, counts, axis=0)
@@ -287,6 +309,8 @@ def find(field: Field, texts: list[str | None], how: Settings = Settings()) -> l
                 a += 1
             while a < b and text[b - 1] in _EDGE:
                 b -= 1
+            if kind == 4 and (core := max(_WORDLIKE.finditer(text, a, b), key=lambda m: m.end() - m.start(), default=None)):
+                a, b = core.span()
             if a == b or any(s < b and a < e for s, _, e in base[d]):
                 continue
             near = added[d]
@@ -311,7 +335,7 @@ def _in_parts(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, list]]:
 def detect(docs: DataFrame, field: Field, how: Settings = Settings()) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row's whole text.
 
-    Counts and digest are of the base spans; ``spans`` also holds the field's. Offsets count code points. Null text is
+    Counts and digest are of the base spans; ``spans`` also holds the field's, of these kinds and of secrets. Offsets count code points. Null text is
     empty. Repeated rows are each answered; an empty table gives no rows; other columns are left out. A token that
     repeats many times is linked to its last occurrence only, so edges grow with the text.
     """

@@ -91,3 +91,17 @@ def test_odd_rows(spark):
     clean = {r["doc_id"]: r["text"] for r in P.redact(docs, field).collect()}
     assert clean[1] is None and clean[3] == "mail [EMAIL] " * 3
     assert P.detect(docs.limit(0), field).count() == 0
+
+
+def test_field_finds_secrets_that_no_pattern_names(spark):
+    import random
+
+    rng = random.Random(8)
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    fill = lambda n: " ".join(rng.choice(("the", "of", "reading", "plain", "words", "in", "2019", "v1.2", "b4", "10th")) for _ in range(n))
+    train = [f'{fill(12)} token = "{hexed()}" {fill(9)}' if k % 2 else fill(25) for k in range(600)]
+    field = P.fit(train, P.Settings())
+    unseen, repeated = hexed(), hexed()
+    texts = [f"{fill(8)} {unseen} {fill(8)}", f'{fill(3)} token = "{repeated}" {fill(200)} {repeated}, {fill(4)}', fill(60)]
+    found = [[(k, text[a:b]) for a, k, b in spans] for text, (_, spans) in zip(texts, P.find(field, texts))]
+    assert found == [[(4, unseen)], [(4, repeated), (4, repeated)], []]
