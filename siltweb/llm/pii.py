@@ -48,7 +48,7 @@ class Settings:
     bits: int = 12
     epochs: int = 60
     rate: float = 0.5
-    edge_rate: float = 20.0
+    edge_rate: float = 0.2
     edge_decay: float = 2e-4
     #: Log-odds that a base span adds to its tokens, from which the field carries it on.
     evidence: float = 14.0
@@ -264,7 +264,7 @@ def fit(texts: list[str], how: Settings) -> Field:
     if not g.doc:
         return field
     gold = base_labels(g, [sorted(base_spans(t) + named_secrets(t)) for t in texts])
-    seen = np.full_like(field.emit, 1e-2)
+    seen, seen_edges = np.full_like(field.emit, 1e-2), np.full((2, y, y), 1e-2)
     chain, skip = np.array(g.chain, np.int64).reshape(-1, 2), np.array(g.skip, np.int64).reshape(-1, 2)
     for k in range(how.epochs):
         post, on_chain, on_skip, (flat, counts) = propagate(field, graphs[k % 2], how.rounds, how.damping)
@@ -275,10 +275,11 @@ def fit(texts: list[str], how: Settings) -> Field:
         seen += change**2
         emit = (field.emit + how.rate * change / np.sqrt(seen)) * (1 - how.decay)
         tables = []
-        for old, edges, joint in ((field.chain, chain, on_chain), (field.skip, skip, on_skip)):
-            real = np.zeros((y, y))
-            np.add.at(real, (gold[edges[:, 0]], gold[edges[:, 1]]), 1)
-            tables.append((old + how.edge_rate * (real - joint.sum(0)) / max(1, len(edges))) * (1 - how.edge_decay))
+        for old, edges, joint, past in ((field.chain, chain, on_chain, seen_edges[0]), (field.skip, skip, on_skip, seen_edges[1])):
+            step = -joint.sum(0)
+            np.add.at(step, (gold[edges[:, 0]], gold[edges[:, 1]]), 1)
+            past += step**2
+            tables.append((old + how.edge_rate * step / np.sqrt(past)) * (1 - how.edge_decay))
         field = Field(emit, tables[0], tables[1])
     return field
 
