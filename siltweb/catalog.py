@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import content, web
+from .plans import content, pages, web
 
-QUERIES: dict = web.QUERIES | content.QUERIES
-ORACLES: dict = web.ORACLES | content.ORACLES
+QUERIES: dict = web.QUERIES | content.QUERIES | pages.QUERIES
+ORACLES: dict = web.ORACLES | content.ORACLES | pages.ORACLES

@@ -9,14 +9,17 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .policy import DENIED_IPV4
+
 # IPv6 networks within 2000::/3 that aren't public.
-DENIED_IPV6 = "2001::/23 2001:db8::/32 2002::/16 3fff::/20".split()
+DENIED_IPV6 = "2001::/23 2001:db8::/32 2002::/16 3ffe::/16 3fff::/20".split()
 
 
 @F.pandas_udf("boolean")
 def is_public_ipv6(address: pd.Series) -> pd.Series:
-    """Null where it isn't an address; mapped IPv4 addresses are judged as such."""
+    """Null where it isn't an address; mapped and compatible IPv4 addresses are judged as such, by the same networks as all IPv4 addresses."""
     denied = [ipaddress.ip_network(n) for n in DENIED_IPV6]
+    denied_old = [ipaddress.ip_network(n) for n in DENIED_IPV4]
     unicast = ipaddress.ip_network("2000::/3")
 
     def judge(text):
@@ -24,8 +27,9 @@ def is_public_ipv6(address: pd.Series) -> pd.Series:
             a = ipaddress.IPv6Address(text)
         except (ValueError, TypeError):
             return None
-        if a.ipv4_mapped:
-            return a.ipv4_mapped.is_global
+        if int(a) >> 32 in (0, 0xFFFF):
+            old = ipaddress.IPv4Address(int(a) & 0xFFFFFFFF)
+            return not any(old in n for n in denied_old)
         return a in unicast and not any(a in n for n in denied)
 
     return address.map(judge)

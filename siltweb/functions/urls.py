@@ -83,8 +83,22 @@ def robots_url(url: Column) -> Column:
     return F.concat(origin(url), F.lit("/robots.txt"))
 
 
+def without_dots(url: Column) -> Column:
+    """``.`` and ``..`` segments of the path folded, plain or escaped; none goes above the root."""
+
+    def folded(p: Column) -> Column:
+        one, two = r"^(\.|%2[eE])$", r"^(\.|%2[eE]){2}$"
+        parts = F.split(F.substring(p, 2, 1 << 30), "/")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x.rlike(two), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.rlike(one), acc).otherwise(F.array_append(acc, x)))
+        open_end = F.element_at(parts, -1).rlike(r"^(\.|%2[eE]){1,2}$") & (F.size(kept) > 0)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+
+    dotted = path(url).rlike(r"/(\.|%2[eE]){1,2}(/|$)")
+    return F.when(dotted, F.concat(origin(url), folded(path(url)), query(url))).otherwise(url)
+
+
 def resolve(base: Column, reference: Column) -> Column:
-    """Absolute form of a reference: absolute, scheme-relative, root-relative, query-only, fragment-only or relative to the base's folder. Dot segments are left as they are."""
+    """Absolute form of a reference: absolute, scheme-relative, root-relative, query-only, fragment-only or relative to the base's folder, with dot segments folded."""
     folder = F.regexp_replace(path(base), "[^/]*$", "")
     joined = (
         F.when(reference.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
@@ -94,7 +108,7 @@ def resolve(base: Column, reference: Column) -> Column:
         .when(reference.startswith("#") | (reference == ""), F.concat(origin(base), path(base), query(base)))
         .otherwise(F.concat(origin(base), folder, reference))
     )
-    return canonicalize(joined)
+    return let(canonicalize(joined), without_dots)
 
 
 def same_origin(a: Column, b: Column) -> Column:

@@ -77,10 +77,10 @@ class Step:
     attributes: tuple[tuple[str, str, bool], ...]
 
 
-def parse_path(path: str) -> list[Step]:
+def parse_path(path: str, every: bool = False) -> list[Step]:
     """``/a//b[2][@id][@class='x'][contains(@href,'y')]``: child and descendant steps with these predicates only.
 
-    Elements that the node table leaves out can't be named; a path that does raises an error.
+    Elements that the node table leaves out can't be named; a path that does raises an error, unless ``every`` element has rows.
     """
     steps, rest = [], path
     pattern = re.compile(r"(//?)(\*|[A-Za-z][A-Za-z0-9]*)((?:\[[^\]]*\])*)")
@@ -88,7 +88,7 @@ def parse_path(path: str) -> list[Step]:
         m = pattern.match(rest)
         if not m:
             raise ValueError(f"not a supported path: {path!r}")
-        if m[2].lower() in VOID + LOOSE:
+        if not every and m[2].lower() in VOID + LOOSE:
             raise ValueError(f"the node table has no {m[2]} elements: {path!r}")
         position, attributes = None, []
         for p in re.findall(r"\[([^\]]*)\]", m[3]):
