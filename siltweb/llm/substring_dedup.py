@@ -182,8 +182,8 @@ def _passage_rows(how: Repeats):
             rows = []
             for text, spots in zip(batch["text"].array, batch["spots"].array):
                 words = text.encode("utf-8", "surrogatepass").split()
-                rows += [(s["anchor"], s["context"], s["times"], b" ".join(words[s["first"] : s["first"] + s["windows"] + how.window - 1])) for s in spots]
-            yield pd.DataFrame(rows, columns=["anchor", "context", "times", "words"])
+                rows += [(s["anchor"], s["context"], s["times"], s["n"], b" ".join(words[s["first"] : s["first"] + s["windows"] + how.window - 1])) for s in spots]
+            yield pd.DataFrame(rows, columns=["anchor", "context", "times", "n", "words"])
 
     return run
 
@@ -208,27 +208,19 @@ def _streamed(how: Repeats):
 
 
 def _window_rows(how: Repeats):
+    """Hashes of the windows of passages."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, powers = _Hashes(), _Powers()
         for batch in batches:
-            for text, spots in zip(batch["text"].array, batch["spots"].array):
-                t = Text(text, known, powers)
-                for s in spots:
-                    got = t.windows(s["first"], s["windows"], how)
-                    yield pd.DataFrame({"window": got, "anchor": s["anchor"], "context": s["context"], "times": s["times"], "place": np.arange(len(got), dtype=np.int32)})
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                texts = [Text(w.decode("utf-8", "surrogatepass"), known, powers) for w in part["words"]]
+                got = [t.windows(0, len(t.words) - how.window + 1, how) for t in texts]
+                size = [len(g) for g in got]
+                yield pd.DataFrame({"window": np.concatenate(got), **{c: part[c].to_numpy().repeat(size) for c in ("anchor", "context", "times")}, "place": np.concatenate([np.arange(n, dtype=np.int32) for n in size])})
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for frame in run(batches):
-            held.append(frame)
-            rows += len(frame)
-            if rows > 100_000:
-                yield pd.concat(held, ignore_index=True)
-                held, rows = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    return joined
+    return run
 
 
 def _kept_rows(how: Repeats, with_text: bool):
@@ -288,19 +280,16 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), with_text: bool =
     texts = materialize(own.join(named, same(own, named), "left_semi"), "touched-texts")
     texts_once = texts.dropDuplicates(["doc_id", "print"])
 
-    def opened(some: DataFrame) -> DataFrame:
-        spots = some.select(F.col("spot.doc_id").alias("doc_id"), F.col("spot.print").alias("print"), F.struct("anchor", "context", "times", F.col("spot.first").alias("first"), F.col("spot.windows").alias("windows")).alias("one"))
-        spots = materialize(spots.groupBy("doc_id", "print").agg(F.collect_list("one").alias("spots")), "spots")
-        return texts_once.join(spots, same(texts_once, spots)).select("text", "spots")
-
-    passages = opened(unsure.where(F.col("n") <= how.passages)).mapInPandas(_passage_rows(how), "anchor long, context long, times long, words binary")
-    partly = map_groups(passages, ["anchor"], _streamed(how), "anchor long, context long, part long").where("part <> 0")
-    many = unsure.where(F.col("n") > how.passages)
-    if not many.isEmpty():
-        windows = materialize(opened(many).mapInPandas(_window_rows(how), "window long, anchor long, context long, times long, place int"), "windows")
-        twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-        counted = windows.join(materialize(twice, "repeated-windows"), "window", "left_semi").groupBy("anchor", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
-        partly = partly.union(counted)
+    spots = unsure.select(F.col("spot.doc_id").alias("doc_id"), F.col("spot.print").alias("print"), F.struct("anchor", "context", "times", "n", F.col("spot.first").alias("first"), F.col("spot.windows").alias("windows")).alias("one"))
+    spots = materialize(spots.groupBy("doc_id", "print").agg(F.collect_list("one").alias("spots")), "spots")
+    opened = texts_once.join(spots, same(texts_once, spots)).select("text", "spots")
+    passages = materialize(opened.mapInPandas(_passage_rows(how), "anchor long, context long, times long, n long, words binary"), "passages")
+    few, many = passages.where(F.col("n") <= how.passages), passages.where(F.col("n") > how.passages)
+    partly = map_groups(few.drop("n"), ["anchor"], _streamed(how), "anchor long, context long, part long").where("part <> 0")
+    windows = materialize(many.mapInPandas(_window_rows(how), "window long, anchor long, context long, times long, place int"), "windows")
+    twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    counted = windows.join(materialize(twice, "repeated-windows"), "window", "left_semi").groupBy("anchor", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
+    partly = partly.union(counted)
     partly = materialize(partly, "partly")
     marks = contexts.join(partly, ["anchor", "context"], "left").select("anchor", "context", F.when(F.col("times") > 1, F.expr("shiftleft(1L, spot.windows) - 1")).otherwise(F.col("part")).alias("mask"))
     marks = materialize(marks.where("mask is not null"), "marks")
