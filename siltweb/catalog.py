@@ -6,3 +6,5 @@ from .plans import content, pages, web
 
 QUERIES: dict = web.QUERIES | content.QUERIES | pages.QUERIES
 ORACLES: dict = web.ORACLES | content.ORACLES | pages.ORACLES
+#: Those without SQL.
+TESTED: dict = pages.TESTED

@@ -11,13 +11,16 @@ from ..storage import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Queries that have no SQL; tests hold their operators against expected results.
+TESTED: dict = {}
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        else:
+            TESTED[f.__name__] = f
         return f
 
     return add

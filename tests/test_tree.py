@@ -99,3 +99,12 @@ def test_renderers_and_cookies(spark):
     xml = "<transcript><text start='1.5' dur='2'>a &amp;amp; b</text><text start='x'>no</text></transcript>"
     caps = render.xml_captions(spark.createDataFrame([(1, xml), (2, "<!DOCTYPE x>" + xml)], "id long, xml string")).collect()
     assert [(r["id"], r["start_ms"], r["duration_ms"], r["text"]) for r in caps] == [(1, 1500, 2000, "a & b")]
+
+
+def test_queries_without_sql_cover_all_pages(spark, small):
+    from siltweb import catalog
+
+    n = spark.read.parquet(f"{small}/pages.parquet").count()
+    got = {name: f(spark, small).collect() for name, f in catalog.TESTED.items()}
+    assert len(got["markdown_whole_pages"]) == n and sum(r["markdown"] != "" for r in got["markdown_whole_pages"]) > n // 2
+    assert 0 < len(got["first_heading_text"]) <= n and got["remembered_headings"]
