@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -25,6 +25,9 @@ class Mixture:
     sweeps: int = 200
     tolerance: float = 1e-4
     settled: float = 0.02
+    #: Up to this many cells a sweep is one task's work, and ``together`` sweeps are one job; more are summed by shuffle, a sweep a job.
+    one_task: int = 100_000
+    together: int = 8
     seed: str = "mix"
 
 
@@ -56,13 +59,24 @@ class NotMet(RuntimeError):
     """The marginals don't meet their targets after all sweeps."""
 
 
+def _summed(w: DataFrame, c: str, few: bool, sums: dict[str, Column]) -> DataFrame:
+    """``w`` with sums over the rows that share ``c``: over a window within the one task, or pre-aggregated and joined back."""
+    if few:
+        return w.withColumns({name: F.sum(x).over(Window.partitionBy(c)) for name, x in sums.items()})
+    return w.join(w.groupBy(c).agg(*[F.sum(x).alias(name) for name, x in sums.items()]), c, "left")
+
+
 def _fitted(w: DataFrame, how: Mixture, step, slack: float, name: str) -> DataFrame:
-    """``w`` after sweeps of ``step(w, i, c)`` over the dimensions, each of which leaves ``off{i}``, until none is off by ``slack`` or more, or no sweep brings them nearer."""
-    before = None
-    for k in range(how.sweeps):
-        for i, c in enumerate(CELL):
-            w = step(w.drop(f"off{i}"), i, c)
-        w = materialize(w.coalesce(8), f"{name}-{k}")
+    """``w`` after sweeps of ``step(w, i, c, few)`` over the dimensions, each of which leaves ``off{i}``, until none is off by ``slack`` or more, or further sweeps bring them no nearer."""
+    few = w.count() <= how.one_task
+    before, done = None, 0
+    while done < how.sweeps:
+        now = min(how.together if few else 1, how.sweeps - done)
+        w, done = w.coalesce(1) if few else w, done + now
+        for _ in range(now):
+            for i, c in enumerate(CELL):
+                w = step(w.drop(f"off{i}"), i, c, few)
+        w = materialize(w if few else w.coalesce(8), f"{name}-{done}")
         worst = max((x for x in w.agg(*[F.max(f"off{i}") for i in range(len(CELL))]).first() if x is not None), default=0.0)
         if worst < slack or before is not None and abs(before - worst) < slack * how.settled:
             return w  # as near as the cells allow
@@ -75,8 +89,9 @@ def _fitted(w: DataFrame, how: Mixture, step, slack: float, name: str) -> DataFr
 def rake(cells: DataFrame, how: Mixture) -> DataFrame:
     """``cells`` with ``weight``: shares of the whole whose marginals meet the targets as far as the cells allow.
 
-    A sweep divides each cell by its marginal and multiplies by the target, one dimension after the other. Marginals are
-    pre-aggregated sums joined back; nothing is gathered, however many sources there are. Cells without tokens weigh 0.
+    A sweep divides each cell by its marginal and multiplies by the target, one dimension after the other. Marginals of
+    more than ``one_task`` cells are pre-aggregated sums joined back, so nothing is gathered, however many sources there
+    are. Cells without tokens weigh 0.
     Sweeps go on until all marginals meet their targets, or stay where they are because no weights of these cells do.
     """
     spark = cells.sparkSession
@@ -93,9 +108,8 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
         aims = own.crossJoin(F.broadcast(norm)).select(c, F.coalesce(F.try_divide("aim", "norm"), F.lit(0.0)).alias(f"aim{i}"))
         w = w.join(aims, c, "left")
 
-    def step(w: DataFrame, i: int, c: str) -> DataFrame:
-        now = w.groupBy(c).agg(F.sum("weight").alias("now"))
-        moved = w.join(now, c, "left").withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(f"aim{i}", "now"), F.lit(0.0)))
+    def step(w: DataFrame, i: int, c: str, few: bool) -> DataFrame:
+        moved = _summed(w, c, few, {"now": F.col("weight")}).withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(f"aim{i}", "now"), F.lit(0.0)))
         return moved.withColumn(f"off{i}", F.abs(F.col(f"aim{i}") - F.col("now"))).drop("now")
 
     return _fitted(materialize(w, "aimed"), how, step, how.tolerance, "raked").select(*CELL, "tokens", "weight")
@@ -131,14 +145,14 @@ def calibrate(cells: DataFrame, how: Mixture) -> DataFrame:
         w = w.join(reachable(own, float(budget)).select(c, F.col("goal").alias(f"goal{i}")), c, "left")
     whole = F.col("expected") >= F.col("tokens") * (1 - 1e-9)
 
-    def step(w: DataFrame, i: int, c: str) -> DataFrame:
+    def step(w: DataFrame, i: int, c: str, few: bool) -> DataFrame:
         goal = F.col(f"goal{i}")
-        now = w.groupBy(c).agg(F.sum("expected").alias("now"), F.sum(F.when(whole, F.col("expected")).otherwise(0.0)).alias("fixed"))
         less = F.col("expected") * goal / F.col("now")
         more = F.when(whole, F.col("expected")).otherwise(F.col("expected") * F.coalesce(F.try_divide(goal - F.col("fixed"), F.col("now") - F.col("fixed")), F.lit(1.0)))
         new = F.when(F.col("now") > goal * (1 + 1e-9), less).when(F.col("now") > 0, more).otherwise(0.0)
         new = F.when(new >= F.col("tokens") * (1 - 1e-9), F.col("tokens").cast("double")).otherwise(new)
-        moved = w.join(now, c, "left").withColumn(f"off{i}", F.abs(goal - F.col("now")))
+        sums = _summed(w, c, few, {"now": F.col("expected"), "fixed": F.when(whole, F.col("expected")).otherwise(0.0)})
+        moved = sums.withColumn(f"off{i}", F.abs(goal - F.col("now")))
         return moved.withColumn("expected", F.when(goal.isNull(), 0.0).otherwise(F.coalesce(new, F.lit(0.0)))).drop("now", "fixed")
 
     w = _fitted(materialize(w, "goals"), how, step, how.tolerance * budget, "fitted")

@@ -33,6 +33,16 @@ def test_raked_weights_match_plain_fitting(spark):
         assert abs(sum(v for k, v in got.items() if k[2] == value) - share) < 1e-6
 
 
+def test_one_task_and_shuffled_sums_agree(spark, small):
+    cells = M.labelled(spark.read.parquet(f"{small}/documents.parquet")).groupBy(*M.CELL).agg(F.sum("cell_tokens").alias("tokens"))
+    got = []
+    for one_task in (100_000, 0):
+        how = M.Mixture(sweeps=4, tolerance=0, one_task=one_task, together=3)
+        rows = M.calibrate(M.rake(cells, how), how).collect()
+        got.append({tuple(r)[:3]: (r["weight"], r["probability"]) for r in rows})
+    assert got[0].keys() == got[1].keys() and all(abs(x - y) < 1e-9 for k in got[0] for x, y in zip(got[0][k], got[1][k]))
+
+
 def test_sample_meets_budget_and_probabilities(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     total = docs.agg(F.sum(M.tokens_of(F.col("text")))).first()[0]
