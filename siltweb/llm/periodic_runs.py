@@ -270,7 +270,7 @@ def find_runs(docs: DataFrame, exponent: int = 4, shortest: int = 6, planted: bo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in SCHEMA.split(", ")]
         for batch in batches:
-            ids, texts = [None if pd.isna(x) else int(x) for x in batch["doc_id"].array], list(batch["text"].array)
+            ids, texts = [int(x) if isinstance(x, str) else None for x in batch["doc_id"].array], list(batch["text"].array)
             rows, at, size = [], 0, 0
             for k, text in enumerate(texts):
                 size += len(text) if isinstance(text, str) else 0
@@ -282,7 +282,7 @@ def find_runs(docs: DataFrame, exponent: int = 4, shortest: int = 6, planted: bo
                 out[name] = out[name].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
