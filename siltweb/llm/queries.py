@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, language, mixing, near_dedup, packing, periodic_runs, pii, secret_scan, substring_dedup, url_filter, warc
+from . import ann, collocations, embed_dedup, language, mixing, near_dedup, packing, periodic_runs, pii, secret_scan, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_collocations": collocations.op12_collocations,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_embedding_dedup": embed_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
     "op11_secret_scan": secret_scan.oracle(),
+    "op12_collocations": collocations.oracle(),
 }
