@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,20 @@ def phrase_hash(lang: Column, phrase: Column) -> Column:
     return F.aggregate(F.transform(F.split(phrase, " "), lambda w: F.xxhash64(w)), F.xxhash64(lang), lambda h, w: turn(h).bitwiseXOR(w))
 
 
-def count_step(shard: DataFrame, slots: np.ndarray, step: int, how: Settings) -> DataFrame:
+def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) -> DataFrame:
     """Counts of the phrases that are active at ``step``: ``lang, k, phrase, c, start``; ``k = 0`` is the number of words.
 
     Words are active from step 0. A longer phrase is active from the step at which both parts that lack one end word had
-    reached the threshold, as ``slots`` says, for one full cycle. A task sums what it has seen of some million words by
+    reached the threshold, as the packed ``slots`` say, for one full cycle. A task sums what it has seen of some million words by
     sorting numbers, exactly, and only then makes phrases of them.
     """
-    shared = shard.sparkSession.sparkContext.broadcast(slots)
 
-    def counted(lang: str, docs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def counted(lang: str, docs: list[list[bytes]], table: np.ndarray) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {b".": 0}
         ids = np.fromiter((number.setdefault(w, len(number)) for doc in docs for w in (b".", *doc)), np.int64)
         names = list(number)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names))
-        table, shift = shared.value, np.uint64(64 - how.bits)
+        shift = np.uint64(64 - how.bits)
 
         def frame(k: int, phrases: list[bytes], c: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
             n = len(phrases)
@@ -105,6 +106,7 @@ def count_step(shard: DataFrame, slots: np.ndarray, step: int, how: Settings) ->
             seen[going] = where
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(slots.value), np.uint8)
         held: dict[str, list[list[bytes]]] = {}
         total = 0
         for batch in batches:
@@ -114,10 +116,10 @@ def count_step(shard: DataFrame, slots: np.ndarray, step: int, how: Settings) ->
                 total += len(words) + 1
                 if total >= how.words_at_once:
                     for it in held.items():
-                        yield from counted(*it)
+                        yield from counted(*it, table)
                     held, total = {}, 0
         for it in held.items():
-            yield from counted(*it)
+            yield from counted(*it, table)
 
     return shard.mapInArrow(run, "lang string, k int, phrase string, c long, start int")
 
@@ -145,12 +147,14 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, 0
     # a phrase of k words starts k - 2 steps after the newest slot at the latest
     while step < newest + max(0, how.longest - 2) + how.shards:
-        now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "text"), slots, step, how)
+        shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
+        now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "text"), shared, step, how)
         if step:
             now = now.unionByName(counts().where((F.col("step") == step - 1) & ~F.col("done")).select(now.columns))
         sums = now.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"), F.min("start").cast("int").alias("start"))
         sums = sums.withColumn("done", F.col("start") + how.shards <= step + 1)
         sums.where(~F.col("done") | (F.col("c") >= how.least) | (F.col("k") == 0)).write.partitionBy("done").parquet(f"{home}/counts/step={step}")
+        shared.destroy()
         if step:
             _remove(spark, f"{home}/counts/step={step - 1}/done=false")
         after = counts().where(F.col("step") == step)
