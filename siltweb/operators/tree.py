@@ -1,7 +1,7 @@
 """Whole HTML pages as rows: every element and every piece of text, with selection by CSS and path, fingerprints and Markdown.
 
-A small helper cuts one page into numbered rows, closing what browsers close; all that follows are joins, windows and
-aggregates over these rows.
+`construct` builds the tree of one page, which becomes numbered rows; all that follows are joins, windows and aggregates
+over these rows.
 """
 
 from __future__ import annotations
@@ -9,136 +9,122 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
 from ..functions import urls
 from ..storage import materialize
-from .html import EXCLUDED, VOID, parse_path
-
-# Elements that end an open paragraph, and for each element with an optional end tag what ends it and where it stays.
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
-WITHIN = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-# Class words of content that isn't the page's own, and elements that make blocks of their own.
-EXCLUDED_CLASSES = ("ad", "ads", "advert", "advertisement", "cookie-banner", "sidebar", "social-share")
-HIDDEN = frozenset((*EXCLUDED, "script", "style", "noscript", "iframe", "object", "canvas", "button", "select"))
+from . import construct
+from .html import parse_path
+
+# Elements whose content isn't the page's own, class words of the same kind, and elements that make blocks.
+HIDDEN = frozenset("script style noscript template svg iframe canvas nav footer header aside form button select option input dialog head".split())
+EXCLUDED_CLASSES = frozenset("ad ads advert advertisement banner promo cookie newsletter sidebar related-posts share social-share".split())
 BLOCKS = frozenset("address article blockquote body caption dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 li main ol p pre section table td th tr ul".split())
 
-SCHEMA = (
-    "page_id long, url string, pre int, post int, depth int, parent int, tag string, attrs map<string,string>, kind string, text string, "
-    "path array<struct<pre:int,tag:string,note:string,hidden:boolean>>"
-)
-
-
-class _Rows(HTMLParser):
-    """Rows of one page. Elements get ``post`` when they end; text, breaks, rules and images carry their ancestors."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[list] = []  # row, note, hidden, list items so far
-        self.at = 0
-
-    def _next(self) -> int:
-        self.at += 1
-        return self.at
-
-    def _end(self, upto: int) -> None:
-        while len(self.open) > upto:
-            self.open.pop()[0][1] = self._next()
-
-    def _leaf(self, kind: str, text: str) -> None:
-        path = [(r[0][0], r[0][4], r[1], r[2]) for r in self.open]
-        self.rows.append([self._next(), None, len(self.open), path[-1][0] if path else None, None, None, kind, text, path])
-
-    def _close_implied(self, tag: str) -> None:
-        ends, stop = ENDED_BY.get(tag, ()), WITHIN.get(tag, ())
-        if tag in ENDS_P:
-            ends, stop = (*ends, "p"), (*stop, "td", "th", "li", "dd", "blockquote", "button")
-        for k in range(len(self.open) - 1, -1, -1):
-            here = self.open[k][0][4]
-            if here in ends:
-                self._end(k)
-                if tag not in ("td", "th", "tr", "tbody", "tfoot"):
-                    return
-            elif here in stop:
-                return
-
-    def handle_starttag(self, tag: str, given: list[tuple[str, str | None]]) -> None:
-        attrs: dict[str, str] = {}
-        for name, value in given:
-            attrs.setdefault(name, value or "")
-        self._close_implied(tag)
-        hidden = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or any(c.lower() in EXCLUDED_CLASSES for c in attrs.get("class", "").split())
-        note = attrs.get("href") if tag == "a" else attrs.get("class") if tag in ("pre", "code") else None
-        if tag == "li" and self.open:
-            above = next((r for r in reversed(self.open) if r[0][4] in ("ul", "ol")), self.open[-1])
-            above[3] = int(attrs["value"]) if re.fullmatch(r"-?[0-9]{1,9}", attrs.get("value", "")) else above[3] + 1
+SCHEMA = "page_id long, url string, pre int, post int, depth int, parent int, tag string, attrs map<string,string>, own boolean, kind string, text string"
+PATH = "path array<struct<pre:int,tag:string,note:string,hidden:boolean>>"
+#: Rows that a task hands on at once.
+ROWS_AT_ONCE = 20_000
+
+
+def _hidden(node: construct.Node) -> bool:
+    a = node.attrs
+    return node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or not EXCLUDED_CLASSES.isdisjoint(re.split(r"[\t\n\f\r ]+", a.get("class", "")))
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,9}", text) else None
+
+
+def page_rows(html: str | None, paths: bool) -> Iterator[tuple]:
+    """``pre, post, depth, parent, tag, attrs, own, kind, text, path`` of one page. Text, breaks, rules and images carry their ancestors if asked to."""
+    if html is None:
+        return
+    at, made = 0, []
+    # open elements: row, children still to come, what leaves below say of it, the number of the last list item
+    open_: list[list] = []
+
+    def leaf(kind: str, text: str) -> None:
+        nonlocal at
+        at += 1
+        made.append([at, None, len(open_), open_[-1][0][0], None, None, None, kind, text, [o[2] for o in open_] if paths else None])
+
+    def enter(node: construct.Node) -> None:
+        nonlocal at
+        at += 1
+        a, hidden = node.attrs, _hidden(node)
+        note = a.get("href") if node.tag == "a" else a.get("class") if node.tag in ("pre", "code") else None
+        if node.tag == "li" and open_:
+            above = next((o for o in reversed(open_) if o[0][4] in ("ul", "ol")), open_[-1])
+            own = _number(a.get("value"))
+            above[3] = above[3] + 1 if own is None else own
             note = str(above[3]) if above[0][4] == "ol" else "-"
-        row = [self._next(), None, len(self.open) + 1, self.open[-1][0][0] if self.open else None, tag, attrs, "element", None, None]
-        self.rows.append(row)
-        if tag in VOID:
-            row[1] = row[0]
-            if tag in ("br", "hr"):
-                self._leaf(tag, "")
-            elif tag == "img" and not hidden and attrs.get("alt", "").strip():
-                self._leaf("img", json.dumps([attrs["alt"], attrs.get("src", "")]))
-            return
-        first = int(attrs["start"]) - 1 if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", attrs.get("start", "")) else 0
-        self.open.append([row, note, hidden, first])
-        if tag in ("td", "th"):
-            self._leaf("text", "")
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0][4] == tag:
-                return self._end(k)
-
-    def handle_data(self, data: str) -> None:
-        self._leaf("text", data)
-
-
-def page_rows(html: str | None) -> list[list]:
-    parser = _Rows()
-    parser.feed(html or "")
-    parser.close()
-    parser._end(0)
-    return parser.rows
-
-
-def rows(pages: DataFrame) -> DataFrame:
-    """A row for each element, piece of text, break, rule and image of ``page_id, url, html``, numbered in document order.
+        row = [at, at, len(open_) + 1, open_[-1][0][0] if open_ else None, node.tag, list(a.items()), node.own, "element", None, None]
+        made.append(row)
+        if node.tag in ("br", "hr"):
+            leaf(node.tag, "")
+        elif node.tag == "img" and not hidden and a.get("alt", "").strip():
+            leaf("img", json.dumps([a["alt"], a.get("src", "")]))
+        if node.tag not in construct.VOID or node.children:
+            first = _number(a.get("start")) if node.tag == "ol" else None
+            open_.append([row, iter(node.children), (row[0], node.tag, note, hidden), 0 if first is None else first - 1])
+
+    enter(construct.build(html))
+    while open_:
+        child = next(open_[-1][1], None)
+        if child is None:
+            at += 1
+            open_.pop()[0][1] = at
+        elif isinstance(child, str):
+            leaf("text", child)
+        else:
+            enter(child)
+    yield from made
 
-    An element spans ``pre`` to ``post``; a void one is its own end. Null html has no rows. References are decoded,
-    all quotings of attributes are read, and what is in comments isn't seen.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["pre", "post", "depth", "parent", "tag", "attrs", "kind", "text", "path"]
-        for batch in batches:
-            for page_id, url, html in zip(batch["page_id"].array, batch["url"].array, batch["html"].array):
-                made = page_rows(html if isinstance(html, str) else None)
-                if made:
-                    out = pd.DataFrame(made, columns=columns).astype({"post": "Int32", "parent": "Int32"})
-                    out.insert(0, "url", url)
-                    out.insert(0, "page_id", page_id)
-                    yield out
+def rows(pages: DataFrame, paths: bool = False) -> DataFrame:
+    """A row for each element, piece of text, break, rule and image of ``page_id, url, html``, numbered in document order.
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, SCHEMA)
+    The tree is the one that browsers build, with the elements that they imply; ``own`` tells those that have a start tag
+    in the page from implied ones and copies. An element spans ``pre`` to ``post``; a void one is its own end. Null html has no rows; any
+    other page has at least ``html``, ``head`` and ``body``. References are decoded, and what is in comments isn't seen.
+    """
+    names = [part.split()[0] for part in SCHEMA.split(", ")] + ["path"] * paths
+    types = [pa.int64(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string(), pa.string()]
+    types += [pa.list_(pa.struct([("pre", pa.int32()), ("tag", pa.string()), ("note", pa.string()), ("hidden", pa.bool_())]))] * paths
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*held))
+        if paths:
+            columns[-1] = [None if path is None else [dict(zip(("pre", "tag", "note", "hidden"), p)) for p in path] for path in columns[-1]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for given in batches:
+            for page_id, url, html in zip(*(given.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                for row in page_rows(html, paths):
+                    held.append((page_id, url, *row[: len(names) - 2]))
+                    if len(held) >= ROWS_AT_ONCE:
+                        yield batch(held)
+                        held = []
+        if held:
+            yield batch(held)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, f"{SCHEMA}, {PATH}" if paths else SCHEMA)
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    return rows(pages).where("kind = 'element'").drop("kind", "text", "path")
+    return rows(pages).where("kind = 'element'").drop("kind", "text")
 
 
 def element_text(matches: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, pre, text`` of elements: their text joined by blanks and cleaned, without that of scripts and styles."""
-    pieces = rows(pages).where("kind = 'text'").where(~F.exists("path", lambda p: p["tag"].isin("script", "style", "template")))
+    pieces = rows(pages, True).where("kind = 'text'").where(~F.exists("path", lambda p: p["tag"].isin("script", "style", "template")))
     inside = pieces.select("page_id", "pre", "text", F.explode(F.transform("path", lambda p: p["pre"])).alias("holder"))
     wanted = matches.select("page_id", F.col("pre").alias("holder"))
     gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda s: s["text"]), " ")
@@ -266,16 +252,57 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 # -- Markdown
 
+def _hides() -> Column:
+    """Whether an element's own row says that it isn't content."""
+    a = F.col("attrs")
+    classes = F.split(F.coalesce(a["class"], F.lit("")), r"[\t\n\f\r ]+")
+    return F.coalesce(F.col("tag").isin(*sorted(HIDDEN)) | F.map_contains_key("attrs", "hidden") | a["aria-hidden"].eqNullSafe("true") | F.arrays_overlap(classes, F.array(*map(F.lit, sorted(EXCLUDED_CLASSES)))), F.lit(False))
+
+
 def content_root(made: DataFrame) -> DataFrame:
-    """``page_id, root`` (its ``pre``) from pages' rows: the first element with visible text of main, role=main, article, body."""
+    """``page_id, root`` (its ``pre``) from pages' rows with paths: the first of main, role=main and article, in this order of kinds, that isn't hidden and holds visible text or an image with a safe source; else the body."""
     e = made.where("kind = 'element'")
-    kind = F.when(F.col("tag") == "main", 0).when(F.lower(F.col("attrs")["role"]) == "main", 1).when(F.col("tag") == "article", 2).when(F.col("tag") == "body", 3)
-    visible = made.where("kind = 'text'").where((F.trim("text") != "") & ~F.exists("path", lambda p: p["hidden"]))
-    holders = visible.select("page_id", F.explode(F.transform("path", lambda p: p["pre"])).alias("pre")).distinct()
-    roots = e.withColumn("rank", kind).where("rank is not null").join(holders, ["page_id", "pre"], "left_semi")
+    kind = F.when(F.col("tag") == "main", 0).when(F.col("attrs")["role"] == "main", 1).when(F.col("tag") == "article", 2).when(F.col("tag") == "body", 3)
+    shown = F.when(F.col("kind") == "text", F.col("text").rlike(r"(?U)\S")).when(F.col("kind") == "img", urls.resolve(F.col("url"), F.get(F.from_json("text", "array<string>"), F.lit(1))).isNotNull())
+    visible = made.where("kind in ('text', 'img')").where(~F.exists("path", lambda p: p["hidden"])).where(shown)
+    holders = visible.select("page_id", F.explode(F.transform("path", lambda p: p["pre"])).alias("pre")).distinct().withColumn("holds", F.lit(True))
+    roots = e.withColumn("rank", kind).where("rank is not null").join(holders, ["page_id", "pre"], "left").where("holds or rank = 3")
     return roots.groupBy("page_id").agg(F.min_by("pre", F.struct("rank", "pre")).alias("root"))
 
 
+def table_cells(e: DataFrame) -> DataFrame:
+    """``page_id, grid, line, cell, place, heads, hides, align``: the cells that each table owns, by its sections' rows only, so those of a nested table are the nested one's.
+
+    ``place`` counts a row's cells from 0. ``heads`` marks the header row: the first of a thead, else the table's first row if
+    it has th cells and none of them heads a row. ``align`` is what col, colgroup, row and cell agree on in the whole column.
+    """
+    named = lambda df, *pairs: df.select("page_id", *(c.alias(n) for n, c in pairs))
+    a, pre, parent = F.col("attrs"), F.col("pre"), F.col("parent")
+    section = named(e.where("tag in ('thead', 'tbody', 'tfoot')"), ("section", pre), ("grid", parent), ("head", F.col("tag") == "thead"))
+    line = named(e.where("tag = 'tr'"), ("line", pre), ("section", parent), ("row_align", a["align"]))
+    cell = named(e.where("tag in ('td', 'th')"), ("cell", pre), ("line", parent), ("th", F.col("tag") == "th"), ("by_row", F.lower(F.trim(a["scope"])) == "row"), ("own_align", a["align"]), ("hides", F.col("hides")))
+    owned = cell.join(line, ["page_id", "line"]).join(section, ["page_id", "section"])
+    owned = owned.withColumn("place", F.row_number().over(Window.partitionBy("page_id", "line").orderBy("cell")) - 1)
+    seen = F.col("th") & ~F.col("hides")
+    lines = owned.groupBy("page_id", "grid", "line").agg(F.first("head").alias("head"), (F.bool_or(seen) & ~F.bool_or(seen & F.coalesce("by_row", F.lit(False)))).alias("titled"))
+    first = lines.groupBy("page_id", "grid").agg(F.min(F.when(F.col("head"), F.col("line"))).alias("head"), F.min_by("titled", "line").alias("titled"), F.min("line").alias("first"))
+    header = first.select("page_id", "grid", F.coalesce("head", F.when(F.col("titled"), F.col("first"))).alias("header"))
+    # what is said of columns: a col stands for `span` of them, one without cols below it is a colgroup's own
+    span = F.greatest(F.lit(1), F.least(F.lit(1000), F.coalesce(F.trim(a["span"]).try_cast("int"), F.lit(1))))
+    group = named(e.where("tag = 'colgroup'"), ("group", pre), ("grid", parent), ("group_align", F.when(~F.col("hides"), a["align"])), ("group_span", span), ("group_hides", F.col("hides")))
+    col = named(e.where("tag = 'col'"), ("at", pre), ("group", parent), ("col_align", F.when(~F.col("hides"), a["align"])), ("col_span", span))
+    said = group.join(col, ["page_id", "group"], "left").withColumn("wide", F.coalesce("col_span", "group_span"))
+    order = Window.partitionBy("page_id", "grid").orderBy(F.coalesce("at", "group"))
+    said = said.withColumn("upto", F.sum("wide").over(order)).withColumn("aligns", F.array("group_align", F.when(~F.col("group_hides"), F.col("col_align"))))
+    columns = said.select("page_id", "grid", F.explode(F.sequence((F.col("upto") - F.col("wide")).cast("int"), (F.col("upto") - 1).cast("int"))).alias("place"), "aligns").select("page_id", "grid", "place", F.explode("aligns").alias("align"))
+    cells = owned.where(~F.col("hides")).select("page_id", "grid", "place", F.explode(F.array("row_align", "own_align")).alias("align"))
+    value = F.lower(F.trim("align"))
+    agreed = cells.unionByName(columns).select("page_id", "grid", "place", value.alias("align")).where(F.col("align").isin("left", "center", "right"))
+    agreed = agreed.groupBy("page_id", "grid", "place").agg(F.when(F.min("align") == F.max("align"), F.min("align")).alias("align"))
+    out = owned.join(header, ["page_id", "grid"]).join(agreed, ["page_id", "grid", "place"], "left")
+    return out.select("page_id", "grid", "line", "cell", "place", (F.col("line") == F.col("header")).alias("heads"), "hides", "align")
+
+
 def _in(tags: tuple[str, ...]) -> Column:
     return F.exists("path", lambda p: p["tag"].isin(*tags))
 
@@ -300,21 +327,27 @@ def markdown(pages: DataFrame) -> DataFrame:
     struck text, links, images and hard breaks. Navigation, forms, hidden parts and advertising go. Targets that don't
     resolve to http(s) leave their text. Each piece of text knows its ancestors, so blocks and runs are groups of rows.
     """
-    cut = materialize(rows(pages), "page-rows")
-    found = cut.where("kind <> 'element'").join(content_root(cut), "page_id")
+    cut = materialize(rows(pages, True), "page-rows")
+    roots = content_root(cut)
+    found = cut.where("kind <> 'element'").join(roots, "page_id")
     kept = found.where(F.exists("path", lambda p: p["pre"] == F.col("root")) & ~F.exists(F.filter("path", lambda p: p["pre"] > F.col("root")), lambda p: p["hidden"]))
     block_tags = sorted(BLOCKS)
+    # a table is the outermost one below the root; what is nested in a cell is the cell's text
+    inner = F.filter("path", lambda p: p["pre"] > F.col("root"))
+    outer = lambda path, *tags: F.get(F.filter(path, lambda p: p["tag"].isin(*tags)), F.lit(0))["pre"]
+    grid = outer(inner, "table")
+    cell = outer(F.filter(inner, lambda p: p["pre"] > grid), "td", "th")
     item = F.filter("path", lambda p: (p["tag"] == "li") & (p["pre"] > F.col("root")))
     marked = kept.select(
         "page_id", "url", "pre", "kind", "text",
-        F.when(F.col("kind") == "hr", F.col("pre")).otherwise(_last(block_tags, "pre")).alias("block"),
-        F.when(F.col("kind") == "hr", "hr").otherwise(_last(block_tags, "tag")).alias("holder"),
+        F.coalesce(cell, F.when(F.col("kind") == "hr", F.col("pre")).otherwise(_last(block_tags, "pre"))).alias("block"),
+        F.when(cell.isNotNull(), "td").when(F.col("kind") == "hr", "hr").otherwise(_last(block_tags, "tag")).alias("holder"),
         F.size(item).alias("depth"), F.try_element_at(item, F.lit(-1))["pre"].alias("item"), F.try_element_at(item, F.lit(-1))["note"].alias("number"),
         F.size(F.filter("path", lambda p: (p["tag"] == "blockquote") & (p["pre"] > F.col("root")))).alias("quotes"),
-        _last(("table",), "pre").alias("grid"), _last(("tr",), "pre").alias("line"), _last(("td", "th"), "pre").alias("cell"),
-        _in(("pre",)).alias("fenced"), F.coalesce(_last(("code",), "note"), _last(("pre",), "note")).alias("class"),
+        grid.alias("grid"), cell.alias("cell"),
+        (_in(("pre",)) & cell.isNull()).alias("fenced"), F.coalesce(_last(("code",), "note"), _last(("pre",), "note")).alias("class"),
         _in(("strong", "b")).alias("strong"), _in(("em", "i")).alias("em"), _in(("del", "s", "strike")).alias("struck"),
-        (_in(("code",)) & ~_in(("pre",))).alias("code"), F.coalesce(urls.resolve(F.col("url"), _last(("a",), "note")), F.lit("")).alias("dest"),
+        (_in(("code",)) & (~_in(("pre",)) | cell.isNotNull())).alias("code"), F.coalesce(urls.resolve(F.col("url"), _last(("a",), "note")), F.lit("")).alias("dest"),
     )
     order = Window.partitionBy("page_id").orderBy("pre")
     changes = lambda key: F.sum(F.when(key.eqNullSafe(F.lag(key).over(order)), 0).otherwise(1)).over(order)
@@ -324,20 +357,21 @@ def markdown(pages: DataFrame) -> DataFrame:
     image = F.from_json("text", "array<string>")
     source = urls.resolve(F.col("url"), F.get(image, F.lit(1)))
     drawn = F.when(source.isNull(), txt.clean(F.get(image, F.lit(0)))).otherwise(F.concat(F.lit("!["), F.regexp_replace(txt.clean(F.get(image, F.lit(0))), r"([\\\[\]])", r"\\$1"), F.lit("]("), txt.escape_destination(source), F.lit(")")))
-    piece = F.when(F.col("kind") == "br", F.lit("\x01")).when(F.col("kind") == "img", drawn).when(F.col("fenced") | F.col("code"), F.col("text")).otherwise(escaped)
-    firsts = [F.first(c).alias(c) for c in ("holder", "depth", "item", "number", "quotes", "grid", "line", "cell", "fenced", "class", "strong", "em", "struck", "code", "dest")]
+    piece = F.when(F.col("kind") == "br", F.when(F.col("cell").isNull(), F.lit("\x01")).otherwise(" ")).when(F.col("kind") == "img", drawn).when(F.col("fenced") | F.col("code"), F.col("text")).otherwise(escaped)
+    firsts = [F.first(c).alias(c) for c in ("holder", "depth", "item", "number", "quotes", "grid", "cell", "fenced", "class", "strong", "em", "struck", "code", "dest")]
     run = runs.withColumn("piece", piece).groupBy("page_id", "para", "run").agg(*firsts, _joined("pre", "piece", "").alias("body"))
     flat = F.regexp_replace("body", r"(?U)\s+", " ")
     core = F.trim(flat)
     ticks = _ticks(core, 1)
     pad = F.when(core.startswith("`") | core.endswith("`"), " ").otherwise("")
-    shown = F.when(F.col("code"), F.concat(ticks, pad, core, pad, ticks)).otherwise(core)
+    spelled = F.when(F.col("cell").isNotNull(), F.replace(core, F.lit("|"), F.lit("\\|"))).otherwise(core)
+    shown = F.when(F.col("code"), F.concat(ticks, pad, spelled, pad, ticks)).otherwise(core)
     for flag, mark in (("struck", "~~"), ("em", "*"), ("strong", "**")):
         shown = F.when(F.col(flag), F.concat(F.lit(mark), shown, F.lit(mark))).otherwise(shown)
     shown = F.when(F.col("dest") != "", F.concat(F.lit("["), shown, F.lit("]("), txt.escape_destination(F.col("dest")), F.lit(")"))).otherwise(shown)
     around = F.concat(F.when(flat.startswith(" "), " ").otherwise(""), shown, F.when(flat.endswith(" "), " ").otherwise(""))
     part = F.when(F.col("fenced"), F.col("body")).when(core == "", F.when(F.col("body") == "", "").otherwise(" ")).otherwise(around)
-    parts = run.withColumn("part", part).groupBy("page_id", "para").agg(*[F.first(c).alias(c) for c in ("holder", "depth", "item", "number", "quotes", "grid", "line", "cell", "fenced", "class")], _joined("run", "part", "").alias("body"))
+    parts = run.withColumn("part", part).groupBy("page_id", "para").agg(*[F.first(c).alias(c) for c in ("holder", "depth", "item", "number", "quotes", "grid", "cell", "fenced", "class")], _joined("run", "part", "").alias("body"))
     one = F.trim(F.regexp_replace(F.regexp_replace("body", " +", " "), " ?\x01 ?", "\x01"))
     safe = F.regexp_replace(F.regexp_replace(one, r"^([#\-+!=])", r"\\$1"), r"^([0-9]+)([.)])", r"$1\\$2")
     safe = F.when(one.rlike(r"^!\["), one).otherwise(safe)
@@ -350,16 +384,26 @@ def markdown(pages: DataFrame) -> DataFrame:
     text = F.when(F.col("holder") == "hr", "---").when(F.col("fenced"), block).otherwise(F.concat(head, broken))
     blocks = parts.withColumn("out", text).where("out <> '' or grid is not null")
 
-    cells = blocks.where("grid is not null").groupBy("page_id", "grid", "line", "cell").agg(F.trim(_joined("para", "out", " ")).alias("out"), F.min("para").alias("para"))
-    lines = cells.groupBy("page_id", "grid", "line").agg(_joined("cell", "out", " | ").alias("out"), F.count("*").alias("wide"), F.min("para").alias("para"))
-    grids = lines.groupBy("page_id", "grid").agg(F.array_sort(F.collect_list(F.struct("line", "out", "wide"))).alias("all"), F.min("para").alias("para"))
+    texts = blocks.where("cell is not null").groupBy("page_id", "cell").agg(F.trim(_joined("para", "out", " ")).alias("out"))
+    shown = found.select("page_id", grid.alias("grid"), F.struct(F.size(item).alias("depth"), F.try_element_at(item, F.lit(-1))["pre"].alias("item"), F.try_element_at(item, F.lit(-1))["note"].alias("number"), F.size(F.filter("path", lambda p: (p["tag"] == "blockquote") & (p["pre"] > F.col("root")))).alias("quotes")).alias("held"), F.exists(F.filter(inner, lambda p: p["pre"] <= grid), lambda p: p["hidden"]).alias("away"))
+    grids = shown.where("grid is not null and not away").groupBy("page_id", "grid").agg(F.first("held").alias("held"))
+    owned = table_cells(cut.where("kind = 'element'").withColumn("hides", _hides())).join(grids, ["page_id", "grid"]).join(texts, ["page_id", "cell"], "left")
+    out = F.when(F.col("hides"), "").otherwise(F.coalesce("out", F.lit("")))
+    lines = owned.withColumn("out", out).groupBy("page_id", "grid", "line").agg(_joined("place", "out", " | ").alias("out"), F.count("*").alias("wide"), F.first("heads").alias("heads"), F.first("held").alias("held"), F.collect_list(F.struct("place", "align")).alias("aligns"))
+    whole = lines.groupBy("page_id", "grid").agg(F.array_sort(F.collect_list(F.struct((~F.col("heads")).cast("int").alias("after"), "line", "out", "wide"))).alias("all"), F.first("held").alias("held"), F.flatten(F.collect_list("aligns")).alias("aligns"))
     width = F.array_max(F.transform("all", lambda x: x["wide"]))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width.cast("int")), " | "), F.lit(" |"))
+    ruled = F.transform(F.sequence(F.lit(0), width.cast("int") - 1), lambda k: F.coalesce(F.element_at(F.create_map(F.lit("left"), F.lit(":---"), F.lit("center"), F.lit(":---:"), F.lit("right"), F.lit("---:")), F.get(F.filter("aligns", lambda x: x["place"] == k), F.lit(0))["align"]), F.lit("---")))
+    rule = F.concat(F.lit("| "), F.array_join(ruled, " | "), F.lit(" |"))
     drawn = F.transform("all", lambda x: F.concat(F.lit("| "), x["out"], F.repeat(F.lit(" | "), (width - x["wide"]).cast("int")), F.lit(" |")))
-    tables = grids.select("page_id", "para", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("string").alias("number"), F.lit(0).alias("quotes"), F.concat(F.get(drawn, F.lit(0)), F.lit("\n"), rule, F.when(F.size("all") > 1, F.concat(F.lit("\n"), F.array_join(F.slice(drawn, 2, 100_000), "\n"))).otherwise("")).alias("out"))
+    headed = F.get("all", F.lit(0))["after"] == 0
+    none = F.concat(F.lit("|"), F.repeat(F.lit("  |"), width.cast("int")))
+    body = F.when(headed, F.slice(drawn, 2, 1_000_000)).otherwise(drawn)
+    table = F.array_join(F.concat(F.array(F.when(headed, F.get(drawn, F.lit(0))).otherwise(none), rule), body), "\n")
+    places = blocks.where("grid is not null").groupBy("page_id", "grid").agg(F.min("para").alias("para"))
+    tables = whole.join(places, ["page_id", "grid"]).select("page_id", "para", "held.*", table.alias("out"))
 
     plain = blocks.where("grid is null").select("page_id", "para", "depth", "item", "number", "quotes", "out")
-    whole = plain.union(tables.select(plain.columns))
+    whole = plain.unionByName(tables.select(plain.columns))
     leads = F.row_number().over(Window.partitionBy("page_id", "item").orderBy("para")) == 1
     marker = F.when(F.col("item").isNull(), "").when(~leads, "    ").when(F.col("number") == "-", "- ").otherwise(F.concat("number", F.lit(". ")))
     indent = F.repeat(F.lit("    "), F.greatest(F.lit(0), F.col("depth") - 1))

@@ -33,7 +33,7 @@ _BARE = r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is
 @query(rf"""with t as (select page_id, lower(unnest(regexp_extract_all({_BARE}, '<([A-Za-z][A-Za-z0-9-]*)', 1))) tag from pages)
 select page_id, tag, count(*) n from t group by page_id, tag""")
 def elements_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.elements(table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return tree.elements(table(spark, sf_dir, "pages")).where("own").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query(rf"""with a as (select page_id, regexp_extract_all({_BARE}, '(?is)<a\s[^>]*?href=("[^"]*"|''[^'']*'')', 1) h from pages),

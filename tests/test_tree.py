@@ -1,10 +1,35 @@
 """Page trees, selection and Markdown against what is expected of each; checks, renderers and cookie files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltweb.functions import checks, urls
-from siltweb.operators import render, tree
+from siltweb.operators import construct, render, tree
+
+TREES = [
+    ("", "html(head body)"),
+    ("x", "html(head body('x'))"),
+    ("<p>a<p>b", "html(head body(p('a') p('b')))"),
+    ("<b>1<i>2<p>3</b>4", "html(head body(b('1' i('2')) i(p(b('3') '4'))))"),
+    ("<b>1<p>2</b>3</p>", "html(head body(b('1') p(b('2') '3')))"),
+    ("<div><b><div></b>x</div>y", "html(head body(div(b div(b 'x') 'y')))"),
+    ("<a>1<a>2", "html(head body(a('1') a('2')))"),
+    ("<table>x<tr><td>1</table>", "html(head body('x' table(tbody(tr(td('1'))))))"),
+    ("<table><b>x<tr><td>1</table>y", "html(head body(b('x') table(tbody(tr(td('1')))) b('y')))"),
+    ("<p><table></table>b", "html(head body(p(table 'b')))"),
+    ("<!DOCTYPE html><p><table></table>b", "html(head body(p table 'b'))"),
+    ("<title>T&amp;<b></title><body>hi</body>after", "html(head(title('T&<b>')) body('hiafter'))"),
+    ("<ul><li>a<li>b<ul><li>c</ul></ul>", "html(head body(ul(li('a') li('b' ul(li('c'))))))"),
+    ("<select><option>a<option>b<p>x</select>y", "html(head body(select(option('a') option('bx')) 'y'))"),
+    ("<svg><g/><p>out</svg>z", "html(head body(svg(g) p('outz')))"),
+    ("<table><caption>c<col><tr><th>x", "html(head body(table(caption('c') colgroup(col) tbody(tr(th('x'))))))"),
+    ("<form><div></form>x</div>y", "html(head body(form(div('x')) 'y'))"),
+    ("<script>if(a<b){'<p>'}", "html(head(script('if(a<b){\\'<p>\\'}')) body)"),
+    ("</p><br></p>", "html(head body(br p))"),
+    ("<html lang=a><body id=b><html lang=c dir=d><body id=e>", "html(head body)"),
+]
 
 KINDS = [
     ("<main><h2>A &amp; b</h2><p>one<p>two</main>", "## A & b\n\none\n\ntwo"),
@@ -16,20 +41,77 @@ KINDS = [
     ("<table><tr><th>A<th>B<tr><td>1<td></table>", "| A | B |\n| --- | --- |\n| 1 |  |"),
     ("<p>a<br>b</p><hr><p>c</p>", "a  \nb\n\n---\n\nc"),
     ("<p><a href='/x?a=1&amp;b=2'>l</a> <a href='javascript:x'>js</a> <img src=/i.png alt=pic></p>", "[l](http://h/x?a=1&b=2) js ![pic](http://h/i.png)"),
-    ("<main><nav>n</nav><div class='x AD'>junk</div><p hidden>h</p><p aria-hidden=true>i</p><p>kept</p></main>", "kept"),
+    ("<main><nav>n</nav><div class='x ad'>junk</div><p hidden>h</p><p aria-hidden=true>i</p><p>kept</p></main>", "kept"),
     ("<body><p>around</p><article><p>in</p></article></body>", "in"),
     ("<p># no head</p><p>1. no list</p><p>a*b_c[d]</p>", "\\# no head\n\n1\\. no list\n\na\\*b\\_c\\[d\\]"),
     ("", ""),
+    # no body tag, image only, misnested formatting
+    ("<h1>T</h1><p>no body tag</p>", "# T\n\nno body tag"),
+    ("<img src=/i.png alt=pic>", "![pic](http://h/i.png)"),
+    ("<b><p>x</b>y</p>", "**x**y"),
+    ("<p><b>one<p>two", "**one**\n\n**two**"),
+    # class words and aria-hidden as they are; preferred roots need content
+    ("<main><p class=AD>kept</p><p class='x promo'>no</p><p aria-hidden=TRUE>yes</p><dialog>no</dialog><object>in</object></main>", "kept\n\nyes\n\nin"),
+    ("<main><hr></main><article><p>Fallback</p></article>", "Fallback"),
+    ("<main><img src='javascript:bad' alt=x></main><article>Article</article>", "Article"),
+    # tables: nested ones stay in their cell, headers, alignments, widths
+    ("<table><tr><td>A<tr><td>B<td>C<tr><td>Outer<table><thead><tr><th>I1<th>I2</thead><tr><td>J1</table><td>D</table>", "|  |  |\n| --- | --- |\n| A |  |\n| B | C |\n| OuterI1I2J1 | D |"),
+    ("<table><tr><th scope=row>Row<td>Value</table>", "|  |  |\n| --- | --- |\n| Row | Value |"),
+    ("<table><tr><td>B1<td>B2<thead><tr><th>H1<th>H2<tfoot><tr><td>F1<td>F2</table>", "| H1 | H2 |\n| --- | --- |\n| B1 | B2 |\n| F1 | F2 |"),
+    ("<table><col align=right><col align=center><col align=left><thead><tr><th>R<th>C<th>L</thead><tr><td align=right>1<td align=center>2<td align=left>3</table>", "| R | C | L |\n| ---: | :---: | :--- |\n| 1 | 2 | 3 |"),
+    ("<table><thead><tr><th align=right>A<th align=center>B</thead><tr><td align=left>C<td align=center>D</table>", "| A | B |\n| --- | :---: |\n| C | D |"),
+    ("<table><thead><tr><th>a<th>b</thead><tr><td>x|y<td hidden>h<tr><td><code>p|q</code><td>l<br>m</table>", "| a | b |\n| --- | --- |\n| x\\|y |  |\n| `p\\|q` | l m |"),
+    ("<table>out<tr><td>in</table>", "out\n\n|  |\n| --- |\n| in |"),
 ]
 
 
 def test_markdown_of_each_kind(spark):
-    html = [h if "<main" in h or "<body" in h or not h else f"<body>{h}</body>" for h, _ in KINDS]
+    html = [h for h, _ in KINDS]
     pages = spark.createDataFrame([(k, "http://h/a/b", h) for k, h in enumerate(html)] + [(99, None, None)], "page_id long, url string, html string")
     got = {r["page_id"]: r["markdown"] for r in tree.markdown(pages).collect()}
     assert got == {k: want for k, (_, want) in enumerate(KINDS)} | {99: ""}
 
 
+@pytest.mark.parametrize("html, tree", TREES)
+def test_trees_as_browsers_build_them(html, tree):
+    def shown(node):
+        if isinstance(node, str):
+            return "'" + node.replace("'", "\\'") + "'"
+        return node.tag + (f"({' '.join(map(shown, node.children))})" if node.children else "")
+
+    assert shown(construct.build(html)) == tree
+
+
+def test_any_tags_make_a_tree():
+    draw = random.Random(3)
+    tags = "a b p div table tr td caption col select option form li dd svg template script title button h1 nobr object body html head br pre noscript".split()
+    for _ in range(1500):
+        html = "".join(draw.choice(("<{}>", "</{}>", "<{}/>", "x", " ")).format(draw.choice(tags)) for _ in range(draw.randint(1, 50)))
+        root = construct.build(html)
+        below, seen = [root], 0
+        while below:
+            node = below.pop()
+            seen += 1
+            inner = [c for c in node.children if not isinstance(c, str)]
+            assert all(c.parent is node for c in inner)
+            below += inner
+        assert root.tag == "html" and seen <= 60 * 50
+        assert {"head", "body"} <= {c.tag for c in root.children if not isinstance(c, str)}
+
+
+def test_deep_pages_take_time_in_proportion():
+    for html in ("<div>" * 20_000, "<b>" * 5000 + "<p>x</b>" * 500, "<table>" * 3000, "<a>" * 5000):
+        assert construct.build(html).tag == "html"
+
+
+def test_paths_without_a_body_tag(spark):
+    pages = spark.createDataFrame([(1, "http://h/", "<title>t</title><p>a<div><p>b</div>"), (2, "http://h/", "<table><tr><td>x</table>"), (3, "http://h/", None), (4, "http://h/", "")], "page_id long, url string, html string")
+    e = tree.elements(pages)
+    count = lambda q: sorted(r["page_id"] for r in tree.select(e, q).collect())
+    assert count("/html/body") == [1, 2, 4] and count("/html/body/p") == [1] and count("/html/body/div/p") == [1] and count("//table/tbody/tr/td") == [2] and count("/html/head/title") == [1]
+    assert sorted(r["tag"] for r in e.where("own").collect()) == ["div", "p", "p", "table", "td", "title", "tr"]
+
+
 def test_selection(spark):
     html = "<!-- <p>no --><body><p id=a class='x y'>1<p data-k=v>2<ul><li>a<li>b</ul><div><p><img src='s'></div><script>'<p>'</script></body>"
     e = tree.elements(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string"))
