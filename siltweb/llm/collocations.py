@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,9 +68,8 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
     sorting numbers, exactly, and only then makes phrases of them.
     """
 
-    def counted(lang: str, docs: list[list[bytes]], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {b".": 0}
-        ids = np.fromiter((number.setdefault(w, len(number)) for doc in docs for w in (b".", *doc)), np.int64)
+    def counted(lang: str, number: dict[bytes, int], parts: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate(parts)
         names = list(number)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names))
         shift = np.uint64(64 - how.bits)
@@ -107,19 +107,26 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(slots.value), np.uint8)
-        held: dict[str, list[list[bytes]]] = {}
+        held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
         total = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if lang not in held:
+                    number = defaultdict()
+                    number.default_factory = number.__len__
+                    held[lang] = (number, [])
+                    number[b"."]
+                number, parts = held[lang]
                 words = split_words(text)
-                held.setdefault(lang, []).append(words)
-                total += len(words) + 1
+                words.append(b".")
+                parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                total += len(words)
                 if total >= how.words_at_once:
-                    for it in held.items():
-                        yield from counted(*it, table)
+                    for name, it in held.items():
+                        yield from counted(name, *it, table)
                     held, total = {}, 0
-        for it in held.items():
-            yield from counted(*it, table)
+        for name, it in held.items():
+            yield from counted(name, *it, table)
 
     return shard.mapInArrow(run, "lang string, k int, phrase string, c long, start int")
 
@@ -134,8 +141,9 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
 
     The corpus is written in ``shards`` shards, read in turn again and again. Each step counts all lengths that are active
     at once: words in the first cycle; longer phrases as soon as both parts have reached the threshold in what was read so
-    far. Counts are exact, as each phrase is counted over every shard once. Running sums are keyed by the phrase and
-    pre-aggregated, so no hot phrase is gathered. The driver gets which of the ``2^bits`` slots were reached, as bitmaps;
+    far. Counts are exact, as each phrase is counted over every shard once. Sums of a shard are keyed by the phrase and
+    pre-aggregated, so no hot phrase is gathered. A phrase that has the threshold's share in no shard of its cycle can't be
+    frequent, so only the others are summed over shards. The driver gets which of the ``2^bits`` slots were reached, as bitmaps;
     it ends when no phrase can still be active.
     """
     spark = docs.sparkSession
@@ -143,38 +151,49 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     text.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(how.shards))).write.partitionBy("shard").parquet(f"{home}/corpus")
     corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{home}/corpus")
-    counts = lambda: spark.read.schema("lang string, k int, phrase string, c long, start int, step int, done boolean").parquet(f"{home}/counts")
+    schema = "lang string, k int, phrase string, c long"
+    counts = lambda: spark.read.schema(f"{schema}, step int, start int, heavy boolean").parquet(f"{home}/counts")
     slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, 0
+    total = lambda df: df.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
     # a phrase of k words starts k - 2 steps after the newest slot at the latest
     while step < newest + max(0, how.longest - 2) + how.shards:
         shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
         now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "text"), shared, step, how)
-        if step:
-            now = now.unionByName(counts().where((F.col("step") == step - 1) & ~F.col("done")).select(now.columns))
-        sums = now.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"), F.min("start").cast("int").alias("start"))
-        sums = sums.withColumn("done", F.col("start") + how.shards <= step + 1)
-        sums.where(~F.col("done") | (F.col("c") >= how.least) | (F.col("k") == 0)).write.partitionBy("done").parquet(f"{home}/counts/step={step}")
+        sums = now.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"), F.min("start").alias("start"))
+        heavy = (F.col("c") * how.shards >= how.least) | (F.col("k") == 0)
+        sums.withColumn("heavy", heavy).write.partitionBy("start", "heavy").parquet(f"{home}/counts/step={step}")
         shared.destroy()
-        if step:
-            _remove(spark, f"{home}/counts/step={step - 1}/done=false")
-        after = counts().where(F.col("step") == step)
-        # slots reached in this step, of phrases that longer ones can be made of
-        slot = F.shiftrightunsigned(phrase_hash(F.col("lang"), F.col("phrase")), 64 - how.bits)
-        grown = after.where((F.col("c") >= how.least) & F.col("k").between(1, how.longest - 1)).select(slot.alias("slot"))
-        bitmaps = grown.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-        # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
-        for b, bits in bitmaps:
-            found = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
-            found = found[found < len(slots)] if b else np.zeros(1, np.int64)
-            new = found[slots[found] == NEVER]
-            slots[new] = step + 1
-            if len(new):
-                newest = step + 1
+        # what a frequent phrase has in one shard of its cycle at least: only such phrases are summed up
+        reached = [total(counts().where("heavy")).where(F.col("c") >= how.least)]
+        first = step - how.shards + 1
+        if first >= 0:
+            cycle = counts().where(F.col("start") == first)
+            keys = cycle.where("heavy").select("lang", "phrase").distinct()
+            size = keys.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 32)).first()[0] or 0
+            light = cycle.where("not heavy").join(F.broadcast(keys) if size <= how.broadcast_bytes else keys, ["lang", "phrase"], "left_semi")
+            full = total(cycle.where("heavy").select("lang", "k", "phrase", "c").unionByName(light.select("lang", "k", "phrase", "c")))
+            full.where((F.col("c") >= how.least) | (F.col("k") == 0)).write.parquet(f"{home}/done/cycle={first}")
+            reached.append(spark.read.schema(schema).parquet(f"{home}/done/cycle={first}"))
+        for found in reached:
+            # slots of phrases that longer ones can be made of
+            slot = F.shiftrightunsigned(phrase_hash(F.col("lang"), F.col("phrase")), 64 - how.bits)
+            grown = found.where(F.col("k").between(1, how.longest - 1)).select(slot.alias("slot"))
+            bitmaps = grown.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+            # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
+            for b, bits in bitmaps:
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
+                at = at[at < len(slots)] if b else np.zeros(1, np.int64)
+                new = at[slots[at] == NEVER]
+                slots[new] = step + 1
+                if len(new):
+                    newest = step + 1
+        for past in range(max(0, first), step + 1) if first >= 0 else ():
+            _remove(spark, f"{home}/counts/step={past}/start={first}")
         step += 1
         if step >= NEVER:
             raise RuntimeError("more steps than four cycles can take")
     _remove(spark, f"{home}/corpus")
-    return counts().where("done").select("lang", "k", "phrase", F.col("c").alias("f"))
+    return spark.read.schema(schema).parquet(f"{home}/done").select("lang", "k", "phrase", F.col("c").alias("f"))
 
 
 def collocations(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
