@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-
-ANCHOR = r'<a\s[^>]*?href="([^"]*)"'
-
-
-def anchors(pages: DataFrame) -> DataFrame:
-    """``page_id, url, ordinal, href``: a row for each anchor with a target, in document order."""
-    hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), 1)
-    return pages.select("page_id", "url", F.posexplode(hrefs).alias("ordinal", "href"))
-
+from .tree import anchors
 
 def discover(pages: DataFrame, subdomains: bool = False, per_page: int = 1024) -> DataFrame:
     """Links that a crawl would take up: resolved, in scope, not destructive, the first of each target on its page, at most ``per_page``.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import checks, urls
+
 
 def parse(robots: DataFrame, agent: str) -> DataFrame:
     """``origin, allow, path, delay`` of the groups that speak to ``agent``: rules, and one row with a delay where given.
@@ -33,13 +35,52 @@ def parse(robots: DataFrame, agent: str) -> DataFrame:
     return paths.union(longest)
 
 
+def _octets(path: Column) -> Column:
+    """The form that rules are compared in; most paths are in it already."""
+    # the path is computed once, as the variable of a lambda
+    return F.get(F.transform(F.array(path), lambda p: F.when(p.rlike(r"%|[^\x00-\x7F]"), checks.robots_octets(p)).otherwise(p)), F.lit(0))
+
+
 def decide(urls: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
     """``urls`` with ``allowed``: the longest rule that starts the path decides, allow wins ties, no rule allows.
 
-    Rules of one origin ride along as an array, so a popular origin's urls aren't moved or multiplied by its rules.
+    Paths and rules are compared in one form: unreserved octets plain, all other escapes in upper case, what isn't ASCII
+    escaped. Rules of one origin ride along as an array, so a popular origin's urls aren't moved or multiplied by its rules.
     """
-    bundled = rules.where("path is not null").groupBy("origin").agg(F.collect_list(F.struct(F.length("path").alias("size"), "allow", "path")).alias("rules"))
-    joined = urls.join(bundled, "origin", "left")
-    fitting = F.filter("rules", lambda r: path.startswith(r["path"]))
+    told = rules.where("path is not null").withColumn("path", _octets(F.col("path")))
+    bundled = told.groupBy("origin").agg(F.collect_list(F.struct(F.length("path").alias("size"), "allow", "path")).alias("rules"))
+    joined = urls.withColumn("asked_", _octets(path)).join(bundled, "origin", "left")
+    fitting = F.filter("rules", lambda r: F.col("asked_").startswith(r["path"]))
     best = F.array_max(F.transform(fitting, lambda r: F.struct(r["size"], r["allow"])))
-    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules")
+    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules", "asked_")
+
+
+def outcomes(fetches: DataFrame, max_hops: int = 10) -> DataFrame:
+    """``origin, state, error, text``: what came of asking each origin for its rules.
+
+    ``fetches``: origin, status, final_url, hops, content_type, text, error; one row an origin. A missing file (404) allows all:
+    ``missing``. Text of 2xx gives ``rules``. Everything else denies all, as ``denied`` with its error: another status, more than
+    ``max_hops`` redirects, a redirect to another origin, a type that isn't plain text, or the fetch's own.
+    """
+    away = urls.origin(F.col("final_url")) != F.col("origin")
+    ok = F.col("status").between(200, 299)
+    error = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("hops") > max_hops, "redirect_limit")
+        .when(F.coalesce(away, F.lit(True)), "cross_origin")
+        .when(F.col("status") == 404, None)
+        .when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("http_"), F.coalesce(F.col("status").cast("string"), F.lit("none"))))
+        .when(~F.coalesce(checks.is_robots_text(F.col("content_type")), F.lit(False)), "content_type")
+    )
+    state = F.when(error.isNotNull(), "denied").when(F.col("status") == 404, "missing").otherwise("rules")
+    return fetches.select("origin", state.alias("state"), error.alias("error"), F.when(state == "rules", F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def decide_by_outcome(asked: DataFrame, states: DataFrame, agent: str, path: Column) -> DataFrame:
+    """``asked`` with ``allowed`` and ``error``: by the rules where an origin has them, all where it has none; an origin without a row in ``states`` is one whose file is missing."""
+    rules = parse(states.where("state = 'rules'").select("origin", "text"), agent)
+    by_rules = decide(asked, rules, path)
+    known = states.select("origin", "state", "error")
+    joined = by_rules.join(known, "origin", "left")
+    denied = F.coalesce(F.col("state") == "denied", F.lit(False))
+    return joined.withColumn("allowed", F.col("allowed") & ~denied).withColumn("error", F.when(denied, F.col("error"))).drop("state")

@@ -244,10 +244,23 @@ def recall(memory: DataFrame) -> DataFrame:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """``page_id, url, ordinal, href`` of every anchor with a target, in document order: any quoting, references decoded, none from comments or scripts."""
-    found = elements(pages).where("tag = 'a' and attrs['href'] is not null")
-    order = Window.partitionBy("page_id").orderBy("pre")
-    return found.select("page_id", "url", (F.row_number().over(order) - 1).alias("ordinal"), F.trim(F.col("attrs")["href"]).alias("href"))
+    """``page_id, url, ordinal, href`` of every anchor with a target, in document order: any quoting, references decoded, none from comments or scripts. A page is parsed once, and only its anchors leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            held: list[tuple] = []
+            for page_id, url, html in zip(*(given.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                below, n = [construct.build(html)] if html is not None else [], 0
+                while below:
+                    node = below.pop()
+                    if node.tag == "a" and "href" in node.attrs:
+                        held.append((page_id, url, n, node.attrs["href"].strip(" \t\n\f\r")))
+                        n += 1
+                    below += [c for c in reversed(node.children) if isinstance(c, construct.Node)]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.string(), pa.int32(), pa.string()))], names=["page_id", "url", "ordinal", "href"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, ordinal int, href string")
 
 
 # -- Markdown
