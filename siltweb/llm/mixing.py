@@ -21,13 +21,14 @@ class Mixture:
     temper: float = 0.7
     #: Share of all tokens that the sample should hold.
     budget: float = 0.6
-    #: Sweeps until marginals are within the tolerance, or don't get nearer by ``settled`` of it; more raise ``NotMet``. A tolerance of 0 asks for just so many.
-    sweeps: int = 200
+    #: Sweeps, at most, until marginals are within the tolerance; else ``NotMet`` is raised. A tolerance of 0 asks for just so many.
+    sweeps: int = 400
     tolerance: float = 1e-4
-    settled: float = 0.02
-    #: Up to this many cells a sweep is one task's work, and ``together`` sweeps are one job; more are summed by shuffle, a sweep a job.
-    one_task: int = 100_000
+    #: Sweeps are at rest where no cell has grown by more than this share over ``together`` of them.
+    settled: float = 1e-6
     together: int = 8
+    #: Up to this many cells a sweep is one task's work; more are summed by shuffle, a sweep a job.
+    one_task: int = 100_000
     seed: str = "mix"
 
 
@@ -66,24 +67,36 @@ def _summed(w: DataFrame, c: str, few: bool, sums: dict[str, Column]) -> DataFra
     return w.join(w.groupBy(c).agg(*[F.sum(x).alias(name) for name, x in sums.items()]), c, "left")
 
 
-def _fitted(w: DataFrame, how: Mixture, step, slack: float, name: str) -> DataFrame:
-    """``w`` after sweeps of ``step(w, i, c, few)`` over the dimensions, each of which leaves ``off{i}``, until none is off by ``slack`` or more, or further sweeps bring them no nearer."""
+def _fitted(w: DataFrame, how: Mixture, step, value: str, slack: float, name: str) -> DataFrame:
+    """``w`` after sweeps of ``step(w, i, c, few)`` over the dimensions, each of which leaves ``off{i}``, until none is off by ``slack`` or more.
+
+    Every ``together`` sweeps are looked at, however many cells there are. Sweeps that bring no marginal nearer may still
+    be on their way, as long as some cell's ``value`` grows by a share of itself; where none does, they are at rest and no
+    values of these cells meet the targets. That raises where a dimension with given targets is off, as does the end of
+    all sweeps; where only tempered shares, which are a wish, can't be had, the nearest is returned. ``off`` tells how far
+    each dimension is off, at most.
+    """
     few = w.count() <= how.one_task
-    before, done = None, 0
+    done, off, grown = 0, {}, 0.0
     while done < how.sweeps:
-        now = min(how.together if few else 1, how.sweeps - done)
-        w, done = w.coalesce(1) if few else w, done + now
-        for _ in range(now):
+        now = min(how.together, how.sweeps - done)
+        done += now
+        w = (w.coalesce(1) if few else w).withColumn("was", F.col(value))
+        for k in range(now):
             for i, c in enumerate(CELL):
                 w = step(w.drop(f"off{i}"), i, c, few)
-        w = materialize(w if few else w.coalesce(8), f"{name}-{done}")
-        worst = max((x for x in w.agg(*[F.max(f"off{i}") for i in range(len(CELL))]).first() if x is not None), default=0.0)
-        if worst < slack or before is not None and abs(before - worst) < slack * how.settled:
-            return w  # as near as the cells allow
-        before = worst
-    if slack > 0:
-        raise NotMet(f"{name}: a marginal is still off by {worst} after {how.sweeps} sweeps")
-    return w
+            if not few or k + 1 == now:
+                w = materialize(w if few else w.coalesce(8), f"{name}-{done}")
+        growth = F.max(F.when((F.col("was") > 0) & (F.col(value) > 0), F.log(F.col(value) / F.col("was"))))
+        *offs, grown = w.agg(*[F.max(f"off{i}") for i in range(len(CELL))], growth).first()
+        off = dict(zip(DIMENSIONS, (x or 0.0 for x in offs)))
+        resting = (grown or 0.0) < how.settled
+        if max(off.values()) < slack or slack > 0 and resting:
+            break
+    if slack > 0 and any(x >= slack and (not resting or d in how.targets) for d, x in off.items()):
+        told = ", ".join(f"{d} by {x:.3g}" for d, x in off.items())
+        raise NotMet(f"{name}: after {done} sweeps marginals are still off: {told}" + (", and no cell grows" if resting else ""))
+    return w.drop("was").withColumn("off", F.create_map(*[F.lit(x) for pair in off.items() for x in pair]))
 
 
 def rake(cells: DataFrame, how: Mixture) -> DataFrame:
@@ -92,7 +105,7 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
     A sweep divides each cell by its marginal and multiplies by the target, one dimension after the other. Marginals of
     more than ``one_task`` cells are pre-aggregated sums joined back, so nothing is gathered, however many sources there
     are. Cells without tokens weigh 0.
-    Sweeps go on until all marginals meet their targets, or stay where they are because no weights of these cells do.
+    Sweeps go on until all marginals meet their targets; given targets that no weights of these cells meet raise ``NotMet``.
     """
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
@@ -112,7 +125,7 @@ def rake(cells: DataFrame, how: Mixture) -> DataFrame:
         moved = _summed(w, c, few, {"now": F.col("weight")}).withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(f"aim{i}", "now"), F.lit(0.0)))
         return moved.withColumn(f"off{i}", F.abs(F.col(f"aim{i}") - F.col("now"))).drop("now")
 
-    return _fitted(materialize(w, "aimed"), how, step, how.tolerance, "raked").select(*CELL, "tokens", "weight")
+    return _fitted(materialize(w, "aimed"), how, step, "weight", how.tolerance, "raked").select(*CELL, "tokens", "weight", "off")
 
 
 def reachable(own: DataFrame, budget: float) -> DataFrame:
@@ -128,7 +141,7 @@ def reachable(own: DataFrame, budget: float) -> DataFrame:
 
 
 def calibrate(cells: DataFrame, how: Mixture) -> DataFrame:
-    """``cells`` with ``probability``, and with ``weight`` the share of the sample's tokens to expect from the cell.
+    """``cells`` with ``probability``, with ``weight`` the share of the sample's tokens to expect from the cell, and ``off``, how far each dimension's shares are off at most.
 
     The sample's expected tokens meet the budget and its marginals those of the raked weights, as far as the tokens
     allow: a value that needs more than all its tokens gives all, and the rest of its share goes to the other values of
@@ -138,8 +151,8 @@ def calibrate(cells: DataFrame, how: Mixture) -> DataFrame:
     total, there = cells.agg(F.sum("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()
     budget = min(how.budget * (total or 0), there or 0)
     if budget <= 0:
-        return cells.withColumn("probability", F.lit(0.0))
-    w = cells.withColumn("expected", F.least(F.col("tokens").cast("double"), F.col("weight") * float(budget)))
+        return cells.drop("off").withColumns({"probability": F.lit(0.0), "off": F.create_map().cast("map<string,double>")})
+    w = cells.drop("off").withColumn("expected", F.least(F.col("tokens").cast("double"), F.col("weight") * float(budget)))
     for i, c in enumerate(CELL):
         own = materialize(cells.where("weight > 0").groupBy(c).agg(F.sum("tokens").cast("double").alias("own"), F.sum("weight").alias("aim")), "own")
         w = w.join(reachable(own, float(budget)).select(c, F.col("goal").alias(f"goal{i}")), c, "left")
@@ -155,9 +168,9 @@ def calibrate(cells: DataFrame, how: Mixture) -> DataFrame:
         moved = sums.withColumn(f"off{i}", F.abs(goal - F.col("now")))
         return moved.withColumn("expected", F.when(goal.isNull(), 0.0).otherwise(F.coalesce(new, F.lit(0.0)))).drop("now", "fixed")
 
-    w = _fitted(materialize(w, "goals"), how, step, how.tolerance * budget, "fitted")
+    w = _fitted(materialize(w, "goals"), how, step, "expected", how.tolerance * budget, "fitted")
     expected = w.agg(F.sum("expected")).first()[0] or 1.0
-    return w.select(*CELL, "tokens", (F.col("expected") / expected).alias("weight"), F.coalesce(F.try_divide("expected", F.col("tokens").cast("double")), F.lit(0.0)).alias("probability"))
+    return w.select(*CELL, "tokens", (F.col("expected") / expected).alias("weight"), F.coalesce(F.try_divide("expected", F.col("tokens").cast("double")), F.lit(0.0)).alias("probability"), F.transform_values("off", lambda _, x: x / budget).alias("off"))
 
 
 ADDED = (*CELL, "cell_tokens", "cell_weight", "cell_probability")

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltweb.llm import mixing as M
@@ -94,3 +95,26 @@ def test_targets_far_from_the_tokens_are_met_or_reported(spark):
     except M.NotMet:
         return
     raise AssertionError("no report")
+
+
+FAR = [("a", "x", "t", 10**8), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 10**8)]
+HOW = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.6, "y": 0.4}}
+
+
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_a_slow_start_is_no_rest(spark, one_task):
+    df = spark.createDataFrame(FAR, "source_cell string, lang_cell string, topic_cell string, tokens long")
+    out = M.rake(df, M.Mixture(targets=HOW, one_task=one_task)).collect()
+    share = lambda k, value: sum(r["weight"] for r in out if r[k] == value)
+    assert abs(share(0, "a") - 0.5) < 1e-4 and abs(share(1, "x") - 0.6) < 1e-4
+    assert all(r["off"].keys() == set(M.DIMENSIONS) and max(r["off"].values()) < 1e-4 for r in out)
+
+
+def test_targets_that_cells_rule_out_raise_with_their_distance(spark):
+    df = spark.createDataFrame([c for c in FAR if c[3] > 1], "source_cell string, lang_cell string, topic_cell string, tokens long")
+    with pytest.raises(M.NotMet, match="source by 0.1, lang by 0.1, topic by 0, and no cell grows"):
+        M.rake(df, M.Mixture(targets=HOW))
+    # shares that nobody asked for are come near to, and the distance is told
+    cells = spark.createDataFrame([("a", "x", "t", 900), ("b", "y", "t", 50), ("c", "y", "u", 50)], "source_cell string, lang_cell string, topic_cell string, tokens long")
+    out = M.rake(cells, M.Mixture(temper=0.2)).collect()
+    assert max(out[0]["off"].values()) > 1e-3 and abs(sum(r["weight"] for r in out) - 1) < 1e-6
