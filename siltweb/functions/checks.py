@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import policy, text, urls
+from . import charsets, policy, text, urls
 
 # Marks of pages that ask to log in or to prove being human, by service.
 AUTH_MARKS = {
@@ -14,13 +14,6 @@ AUTH_MARKS = {
     "linkedin": ("/checkpoint/", "security verification", "/uas/login", "authwall"),
 }
 CONSENT_MARKS = ("consent.youtube.com", "ServiceLogin", "captcha", "unusual traffic")
-# Labels of text encodings and the names they stand for, as the web has them, and the engine's names for decoding.
-CHARSETS = {
-    "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8", "latin1": "windows-1252", "iso-8859-1": "windows-1252", "iso8859-1": "windows-1252", "us-ascii": "windows-1252",
-    "ascii": "windows-1252", "l1": "windows-1252", "cp1252": "windows-1252", "x-cp1252": "windows-1252", "utf-16": "utf-16le", "utf-16le": "utf-16le", "ucs-2": "utf-16le",
-}
-DECODERS = {"utf-8": "UTF-8", "windows-1252": "ISO-8859-1", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
-
 
 def _has(c: Column, marks: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(c, m))
@@ -29,15 +22,9 @@ def _has(c: Column, marks: tuple[str, ...]) -> Column:
 # -- declarations of responses
 
 
-def canonical_charset(label: Column) -> Column:
-    low = F.lower(F.trim(label))
-    known = F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair])
-    return F.coalesce(known[low], low)
-
-
 def declared_charsets(content_type: Column) -> Column:
     given = F.regexp_extract_all(content_type, F.lit(r"(?i);\s*charset\s*=\s*\"?([^;\"\s]+)"), 1)
-    return F.array_distinct(F.transform(given, canonical_charset))
+    return F.array_distinct(F.transform(given, charsets.canonical))
 
 
 def content_type_fault(declarations: Column) -> Column:
@@ -57,12 +44,8 @@ def is_attachment(dispositions: Column) -> Column:
 
 
 def decoded(body: Column, content_type: Column) -> Column:
-    """Bytes as text by the declared charset; unknown labels are UTF-8, and bytes that aren't valid become replacement characters."""
-    named = F.get(declared_charsets(content_type), F.lit(0))
-    out = F.when(named == "windows-1252", F.decode(body, "ISO-8859-1"))
-    for name in ("utf-16le", "utf-16be"):
-        out = out.when(named == name, F.decode(body, DECODERS[name]))
-    return out.otherwise(F.make_valid_utf8(body.cast("string")))
+    """Bytes as text by the declared charset, as `charsets.decoded` has it."""
+    return charsets.decoded(body, F.get(declared_charsets(content_type), F.lit(0)))
 
 
 def is_robots_text(content_type: Column) -> Column:

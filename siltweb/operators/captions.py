@@ -43,7 +43,7 @@ def gap_join(events: DataFrame, key: str, gap_ms: int = 1500) -> DataFrame:
 def choose_track(tracks: DataFrame, key: str, wanted: str | None) -> DataFrame:
     """One track of each video: the wanted language, then English, then one made by people, then any; ties go to the first."""
     asked = F.lit(wanted.lower()) if wanted and wanted.strip() else F.lit(None).cast("string")
-    rank = F.when(F.lower("language") == asked, 0).when(F.lower("language") == "en", 1).when(~F.col("generated"), 2).otherwise(3)
+    rank = F.when(F.lower("language") == asked, 0).when(F.lower("language").rlike("^en(-|$)"), 1).when(~F.col("generated"), 2).otherwise(3)
     whole = F.struct(*[c for c in tracks.columns if c != key])
     return tracks.groupBy(key).agg(F.min_by(whole, F.struct(rank, "ordinal")).alias("t")).select(key, "t.*")
 

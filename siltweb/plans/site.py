@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import checks, urls
 from ..operators import captions, crawl, robots, scripts, tree
 from ..storage import materialize, table
 from .content import _clean, _entities
@@ -106,6 +106,26 @@ def caption_track_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("page_id", "language", "generated", captions.url_fault("url").alias("fault"))
 
 
+# -- encodings
+
+#: What each page is served as, by its number: the charset's label and the encoding that the bytes are in.
+_SERVED = (("utf-8", "UTF-8"), ("Latin1", "ISO-8859-1"), ("UTF-16", "UTF-16LE"), ("utf-16be", "UTF-16BE"), ("nope", "UTF-8"), ("iso-8859-1", "ISO-8859-1"))
+
+
+@query(r"""select page_id, regexp_replace(case when page_id % 6 in (1, 5) then regexp_replace(html, '[^\x{00}-\x{FF}]', '?', 'g') else html end, '[\x{80}-\x{9F}]', '', 'g') as text from pages""")
+def bodies_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes in several encodings, decoded by what their responses declare."""
+    k = F.col("page_id") % len(_SERVED)
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", "[\\x{80}-\\x{9F}]", ""))
+    body = F.lit(None).cast("binary")
+    label = F.lit(None).cast("string")
+    for i, (name, encoding) in enumerate(_SERVED):
+        sent = F.regexp_replace("html", "[^\\x{00}-\\x{FF}]", "?") if encoding == "ISO-8859-1" else F.col("html")
+        body, label = F.when(k == i, F.encode(sent, encoding)).otherwise(body), F.when(k == i, name).otherwise(label)
+    served = pages.select("page_id", body.alias("body"), F.concat(F.lit("text/html; charset="), label).alias("type"))
+    return served.select("page_id", checks.decoded(F.col("body"), F.col("type")).alias("text"))
+
+
 # -- robots and crawls
 
 

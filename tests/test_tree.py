@@ -168,6 +168,36 @@ def test_checks(spark):
     assert {r["host"]: r["allowed"] for r in checks.resolved_hosts(answers).collect()} == {"a": False, "b": True, "c": False}
 
 
+BODIES = [
+    (b"\x93a\x94 \x80 \x81\xe9", "text/html; charset=windows-1252", "\u201ca\u201d \u20ac \x81\xe9"),
+    (b"\x93\x80", "text/html; charset=Latin1", "\u201c\u20ac"),
+    (b"\x80", "text/html; charset=\"us-ascii\"", "\u20ac"),
+    ("Привет".encode("cp1251"), "text/plain; charset=x-cp1251", "Привет"),
+    ("日本語".encode("shift_jis"), "text/html; charset=Shift_JIS", "日本語"),
+    ("日本語".encode("cp932"), "text/html; charset=x-sjis", "日本語"),
+    ("日本語".encode("euc_jp"), "text/html; charset=euc-jp", "日本語"),
+    ("中文€".encode("gb18030"), "text/html; charset=gb2312", "中文€"),
+    ("한국어".encode("cp949"), "text/html; charset=ks_c_5601-1987", "한국어"),
+    ("漢字".encode("big5"), "text/html; charset=Big5", "漢字"),
+    ("é".encode("utf-16-be"), "text/html; charset=utf-16be", "é"),
+    ("é".encode("utf-16-le"), "text/html; charset=utf-16", "é"),
+    (b"\xff\xfe" + "é".encode("utf-16-le"), "text/html; charset=utf-8", "é"),
+    (b"\xef\xbb\xbf\xc3\xa9", "text/html; charset=shift_jis", "é"),
+    (b"\xef\xbb\xbf\xc3\xa9", None, "é"),
+    (b"\xa4", "text/html; charset=iso-8859-15", "€"),
+    (b"\xfe", "text/html; charset=l5", "ş"),
+    (b"a\xff\xc3", "text/html", "a\ufffd\ufffd"),
+    (b"", "text/html; charset=gbk", ""),
+    (None, "text/html; charset=gbk", None),
+]
+
+
+def test_bodies_by_label(spark):
+    df = spark.createDataFrame([(k, b, t) for k, (b, t, _) in enumerate(BODIES)], "k long, body binary, type string")
+    got = {r["k"]: r["x"] for r in df.select("k", checks.decoded(F.col("body"), F.col("type")).alias("x")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(BODIES)}
+
+
 def test_renderers_and_cookies(spark):
     rows = [("q", 1, "T", "http://u", "s", None, None, "w"), ("q", 2, "U", "http://v", "", "md", "timeout", None), ("none", None, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "query string, rank int, title string, url string, snippet string, markdown string, error string, warning string")
