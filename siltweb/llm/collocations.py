@@ -42,7 +42,7 @@ class Settings:
     #: Rows of each language.
     top: int = 2000
     #: Bytes of phrases, at most, that a join sends to all executors; past that it is a shuffle.
-    broadcast_bytes: int = 16_000_000
+    broadcast_bytes: int = 64_000_000
 
 
 def split_words(text: str) -> list[bytes]:
@@ -61,7 +61,7 @@ def phrase_hash(lang: Column, phrase: Column) -> Column:
 
 
 def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) -> DataFrame:
-    """Counts of the phrases that are active at ``step``: ``lang, k, phrase, c, start``; ``k = 0`` is the number of words.
+    """Counts of the phrases that are active at ``step``: ``lang, k, phrase, c, start``; ``k = 0``, the empty phrase, is the number of words.
 
     Words are active from step 0. A longer phrase is active from the step at which both parts that lack one end word had
     reached the threshold, as the packed ``slots`` say, for one full cycle. A task sums what it has seen of some million words by
@@ -152,26 +152,27 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     text.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(how.shards))).write.partitionBy("shard").parquet(f"{home}/corpus")
     corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{home}/corpus")
     schema = "lang string, k int, phrase string, c long"
-    counts = lambda: spark.read.schema(f"{schema}, step int, start int, heavy boolean").parquet(f"{home}/counts")
+    counts = lambda: spark.read.schema("lang string, phrase string, c long, start int, heavy boolean, step int").parquet(f"{home}/counts")
     slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, 0
-    total = lambda df: df.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    length = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int")
+    total = lambda df: df.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).select("lang", length.alias("k"), "phrase", "c")
     # a phrase of k words starts k - 2 steps after the newest slot at the latest
     while step < newest + max(0, how.longest - 2) + how.shards:
         shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
         now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "text"), shared, step, how)
-        sums = now.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"), F.min("start").alias("start"))
-        heavy = (F.col("c") * how.shards >= how.least) | (F.col("k") == 0)
-        sums.withColumn("heavy", heavy).write.partitionBy("start", "heavy").parquet(f"{home}/counts/step={step}")
+        sums = now.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("start").alias("start"))
+        heavy = (F.col("c") * how.shards >= how.least) | (F.col("phrase") == "")
+        sums.withColumn("heavy", heavy).write.parquet(f"{home}/counts/step={step}")
         shared.destroy()
         # what a frequent phrase has in one shard of its cycle at least: only such phrases are summed up
         reached = [total(counts().where("heavy")).where(F.col("c") >= how.least)]
         first = step - how.shards + 1
         if first >= 0:
-            cycle = counts().where(F.col("start") == first)
+            cycle = counts().where((F.col("step") >= first) & (F.col("start") == first))
             keys = cycle.where("heavy").select("lang", "phrase").distinct()
             size = keys.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 32)).first()[0] or 0
             light = cycle.where("not heavy").join(F.broadcast(keys) if size <= how.broadcast_bytes else keys, ["lang", "phrase"], "left_semi")
-            full = total(cycle.where("heavy").select("lang", "k", "phrase", "c").unionByName(light.select("lang", "k", "phrase", "c")))
+            full = total(cycle.where("heavy").select("lang", "phrase", "c").unionByName(light.select("lang", "phrase", "c")))
             full.where((F.col("c") >= how.least) | (F.col("k") == 0)).write.parquet(f"{home}/done/cycle={first}")
             reached.append(spark.read.schema(schema).parquet(f"{home}/done/cycle={first}"))
         for found in reached:
@@ -187,8 +188,8 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
                 slots[new] = step + 1
                 if len(new):
                     newest = step + 1
-        for past in range(max(0, first), step + 1) if first >= 0 else ():
-            _remove(spark, f"{home}/counts/step={past}/start={first}")
+        if first >= 0:
+            _remove(spark, f"{home}/counts/step={first}")  # all that started by then has had its cycle
         step += 1
         if step >= NEVER:
             raise RuntimeError("more steps than four cycles can take")
