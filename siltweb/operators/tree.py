@@ -333,14 +333,38 @@ def _joined(order: str, value: str, by: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]), by)
 
 
+# Elements below html within each other, and characters of output, past which a page is refused.
+DEEPEST_PAGE, LONGEST_MARKDOWN = 256, 1_000_000
+
+
+def markdown_bounded(pages: DataFrame, most: int = LONGEST_MARKDOWN, deepest: int = DEEPEST_PAGE) -> DataFrame:
+    """``page_id, markdown, error``: Markdown as `markdown` makes it, or null with what stands against it: ``html`` where elements are nested more than ``deepest`` levels, ``body_limit`` where it would have more than ``most`` characters.
+
+    A page is whole or refused: nothing is cut, so whatever is opened is closed. Characters are code points, after white space
+    is folded. Pages nested too deeply are left out before anything is joined. Null html gives the empty text.
+    """
+    cut = materialize(rows(pages, True), "page-rows")
+    deep = cut.where(F.col("depth") > deepest + 1).select("page_id").distinct()
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id"))
+    made = _markdown(cut.join(deep, "page_id", "left_anti"))
+    told = ids.join(made, "page_id", "left").join(deep.withColumn("deep", F.lit(True)), "page_id", "left")
+    text = F.coalesce("markdown", F.lit(""))
+    error = F.when(F.col("deep"), "html").when(F.length(text) > most, "body_limit")
+    return told.select("page_id", F.when(error.isNull(), text).alias("markdown"), error.alias("error"))
+
+
 def markdown(pages: DataFrame) -> DataFrame:
-    """``page_id, markdown`` of each page's content root.
+    """``page_id, markdown`` of each page, empty where `markdown_bounded` refuses it with its usual bounds."""
+    return markdown_bounded(pages).select("page_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
+
+
+def _markdown(cut: DataFrame) -> DataFrame:
+    """``page_id, markdown`` of each page's content root, of rows with paths; pages without any have no row.
 
     Headings, paragraphs, rules, quotes, nested and numbered lists, tables, fenced and inline code, strong, emphasised and
     struck text, links, images and hard breaks. Navigation, forms, hidden parts and advertising go. Targets that don't
     resolve to http(s) leave their text. Each piece of text knows its ancestors, so blocks and runs are groups of rows.
     """
-    cut = materialize(rows(pages, True), "page-rows")
     roots = content_root(cut)
     found = cut.where("kind <> 'element'").join(roots, "page_id")
     kept = found.where(F.exists("path", lambda p: p["pre"] == F.col("root")) & ~F.exists(F.filter("path", lambda p: p["pre"] > F.col("root")), lambda p: p["hidden"]))
@@ -429,4 +453,4 @@ def markdown(pages: DataFrame) -> DataFrame:
     tight = F.col("leads") & (F.col("depth") > 0) & (F.lag("depth").over(here) > 0)
     piece = F.concat(F.when(F.lag("para").over(here).isNull(), "").when(tight, "\n").otherwise("\n\n"), "piece")
     made = whole.withColumn("piece", quoted).withColumn("leads", leads).withColumn("piece", piece).groupBy("page_id").agg(_joined("para", "piece", "").alias("markdown"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id")).join(made, "page_id", "left").select("page_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    return made

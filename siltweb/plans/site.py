@@ -65,6 +65,14 @@ def menu_items_by_css(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(first, "page_id")
 
 
+@query("select page_id, case when page_id * 7 % 400 + 2 > 256 then 'html' else 'fits' end as told from pages")
+def nesting_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages nested as deep as their number says: those past the bound are refused as a whole."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.repeat(F.lit("<div>"), (F.col("page_id") * 7 % 400).cast("int")), F.lit("<p>"), F.substring(F.col("url"), 1, 20)).alias("html"))
+    made = tree.markdown_bounded(pages)
+    return made.select("page_id", F.coalesce("error", F.when(F.col("markdown") != "", "fits")).alias("told"))
+
+
 # -- scripts
 
 

@@ -112,6 +112,19 @@ def test_paths_without_a_body_tag(spark):
     assert sorted(r["tag"] for r in e.where("own").collect()) == ["div", "p", "p", "table", "td", "title", "tr"]
 
 
+def test_bounded_markdown(spark):
+    nested = lambda n: "<main>" + "<div>" * n + "x" + "</div>" * n + "</main>"
+    html = ["<p>x          y</p>", "<p>a🦀b</p>", "<p>*</p><p>b", nested(254), nested(255), nested(600), None, "<p><b>abc"]
+    pages = spark.createDataFrame([(k, "http://h/", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    told = lambda most: [tuple(r)[1:] for r in tree.markdown_bounded(pages, most).orderBy("page_id").collect()]
+    deep = (None, "html")
+    assert told(100) == [("x y", None), ("a🦀b", None), ("\\*\n\nb", None), ("x", None), deep, deep, ("", None), ("**abc**", None)]
+    over = (None, "body_limit")
+    assert told(3) == [("x y", None), ("a🦀b", None), over, ("x", None), deep, deep, ("", None), over]
+    assert told(2)[:2] == [over, over]
+    assert {r["page_id"]: r["markdown"] for r in tree.markdown(pages).collect()}[5] == ""
+
+
 def test_selection(spark):
     html = "<!-- <p>no --><body><p id=a class='x y'>1<p data-k=v>2<ul><li>a<li>b</ul><div><p><img src='s'></div><script>'<p>'</script></body>"
     e = tree.elements(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string"))
