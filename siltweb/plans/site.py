@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, urls
-from ..operators import captions, crawl, robots, scripts, tree
+from ..operators import captions, crawl, feeds, robots, scripts, tree
 from ..storage import materialize, table
 from .content import _clean, _entities
 from .web import _parts
@@ -114,6 +114,24 @@ def caption_track_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("page_id", "language", "generated", captions.url_fault("url").alias("fault"))
 
 
+# -- feeds
+
+
+def page_feeds(pages: DataFrame) -> DataFrame:
+    """A feed of each page, in RSS or Atom by its number: an entry that names itself by guid or id, one that has a date only, and one for the first link of its menu."""
+    k, href = F.col("page_id").cast("string"), F.regexp_extract("html", '<li><a href="([^"]*)">', 1)
+    rss = F.concat(F.lit("<rss><channel><item><title>Page "), k, F.lit("</title><guid>/p/"), k, F.lit("</guid><description><![CDATA[<p>Seen <b>"), k, F.lit("</b></p>]]></description></item><item><pubDate>Tue, 27 Aug 2024 16:00:00 GMT</pubDate></item><item><title>Menu</title><link>"), href, F.lit("</link><pubDate>Tue, 27 Aug 2024 16:00:00 +0200</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>Page "), k, F.lit("</title><id>/p/"), k, F.lit("</id><summary type='html'>&lt;p&gt;Seen &lt;b&gt;"), k, F.lit("&lt;/b&gt;</summary></entry><entry><updated>2024-08-27T16:00:00Z</updated></entry><entry><title>Menu</title><link rel='self' href='/self'/><link rel='alternate' href='"), href, F.lit("'/><updated>2024-08-27T16:00:00+02:00</updated></entry></feed>"))
+    return pages.select(F.col("page_id").alias("feed_id"), "url", F.when(F.col("page_id") % 2 == 0, rss).otherwise(atom).alias("body"))
+
+
+@query(f"""with {_parts("select page_id, url from pages")}, m as (select page_id, origin, regexp_extract(html, '<li><a href="([^"]*)">', 1) href from canon join (select page_id, html from pages) using (page_id))
+select page_id feed_id, 0 as ordinal, 'Page ' || page_id title, origin || '/p/' || page_id link, 'Seen **' || page_id || '**' description, '' as date from m union all
+select page_id, 1, 'Menu', origin || href, '', '2024-08-27T14:00:00+00:00' from m""")
+def feed_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.items(page_feeds(table(spark, sf_dir, "pages")))
+
+
 # -- encodings
 
 #: What each page is served as, by its number: the charset's label and the encoding that the bytes are in.
