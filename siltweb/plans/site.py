@@ -34,9 +34,7 @@ paras as (select page_id, n, regexp_replace(piece, '(?s)</(p|article)>.*$', '')
 select page_id, n, txt as text from t""")
 def paragraph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each paragraph, by a path from the root; paragraphs without an end tag end where browsers end them."""
-    pages = materialize(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "pages")
-    found = tree.select_path(tree.elements(pages), "/html/body/article/p")
-    texts = tree.element_text(found, pages)
+    texts = tree.find_text(table(spark, sf_dir, "pages"), "/html/body/article/p")
     return texts.select("page_id", F.expr("row_number() over (partition by page_id order by pre)").cast("long").alias("n"), "text")
 
 
@@ -52,7 +50,7 @@ def bold_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1)[3] href from pages where len(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) >= 3""")
 def third_menu_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tree.select_path(tree.elements(table(spark, sf_dir, "pages")), "/html/body/nav/ul/li/a[@href][3]")
+    found = tree.find(table(spark, sf_dir, "pages"), "/html/body/nav/ul/li/a[@href][3]")
     return found.select("page_id", F.col("attrs")["href"].alias("href"))
 
 

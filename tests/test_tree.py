@@ -233,3 +233,18 @@ def test_queries_without_sql_cover_all_pages(spark, small):
     got = {name: f(spark, small).collect() for name, f in catalog.TESTED.items()}
     assert len(got["markdown_whole_pages"]) == n and sum(r["markdown"] != "" for r in got["markdown_whole_pages"]) > n // 2
     assert 0 < len(got["first_heading_text"]) <= n and got["remembered_headings"]
+
+
+ODD = [(1, "http://h/", "<nav><ul><li><a href='/a'>A</a><li><a>no</a><a href='/b'>B</a></ul></nav><div class=x>1<script>s</script><p>2<template><p>t</template></div><h1>one <b>two</b></h1><h1>no</h1>"), (2, "http://h/", None), (3, "http://h/", "plain"), (4, "http://h/", "<div><div class=x><h1></h1></div>y</div>")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("selector", ["/html/body/nav/ul/li/a[@href][2]", "//div//p", "/html/body/*", "nav li > a[href], h1", "div .x", "li:first-child a"])
+def test_pages_are_parsed_once_whatever_the_steps(spark, selector):
+    pages = spark.createDataFrame(ODD, "page_id long, url string, html string")
+    key = lambda df: sorted((r["page_id"], r["pre"], r["post"], r["tag"], tuple(sorted(r["attrs"].items()))) for r in df.collect())
+    found = tree.find(pages, selector)
+    assert "MapInArrow" not in _plan(found) and key(found) == key(tree.select(tree.elements(pages), selector)) != []
