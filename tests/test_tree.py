@@ -248,3 +248,10 @@ def test_pages_are_parsed_once_whatever_the_steps(spark, selector):
     key = lambda df: sorted((r["page_id"], r["pre"], r["post"], r["tag"], tuple(sorted(r["attrs"].items()))) for r in df.collect())
     found = tree.find(pages, selector)
     assert "MapInArrow" not in _plan(found) and key(found) == key(tree.select(tree.elements(pages), selector)) != []
+
+
+def test_first_texts_parse_pages_once(spark):
+    pages = spark.createDataFrame(ODD, "page_id long, url string, html string")
+    first = tree.first_text(pages, "h1")
+    assert "MapInArrow" not in _plan(first) and sorted(map(tuple, first.collect())) == [(1, "one two"), (4, "")]
+    assert sorted(tuple(r)[::2] for r in tree.find_text(pages, "div.x").collect()) == [(1, "1 2"), (4, "")]
