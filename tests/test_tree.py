@@ -255,3 +255,11 @@ def test_first_texts_parse_pages_once(spark):
     first = tree.first_text(pages, "h1")
     assert "MapInArrow" not in _plan(first) and sorted(map(tuple, first.collect())) == [(1, "one two"), (4, "")]
     assert sorted(tuple(r)[::2] for r in tree.find_text(pages, "div.x").collect()) == [(1, "1 2"), (4, "")]
+
+
+def test_blocks_of_markdown_are_made_once(spark):
+    html = "<p>a <b><i><s>b</s></i></b> <code>x `y`</code> <a href='/c_(d)'><code>e</code></a> z<table><tr><th>h<td><code>p|q</code></table><p> </p>"
+    pages = spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", None), (3, "http://h/", "")], "page_id long, url string, html string")
+    made = tree.markdown(pages)
+    assert r"(?U)\s+" not in _plan(made)
+    assert {r["page_id"]: r["markdown"] for r in made.collect()} == {1: "a ***~~b~~*** `` x `y` `` [`e`](http://h/c_\\(d\\)) z\n\n| h | `p\\|q` |\n| --- | --- |", 2: "", 3: ""}
