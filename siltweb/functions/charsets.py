@@ -72,13 +72,34 @@ def _decoded(body: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(b, n) for b, n in zip(body, name)], dtype=object)
 
 
+# What windows-1252 has where Latin-1 has control characters; bytes that it leaves open stand for themselves.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
+#: UTF-16 by bytes: any units but surrogates and U+FFFE, which Spark's decoder refuses, and surrogates in pairs. Possessive, so that long texts need no stack.
+_PAIRS = {"utf-16le": r"(?s)\A(?:(?!\xFE\xFF).[^\xD8-\xDF]|.[\xD8-\xDB].[\xDC-\xDF])*+\z", "utf-16be": r"(?s)\A(?:(?!\xFF\xFE)[^\xD8-\xDF].|[\xD8-\xDB].[\xDC-\xDF].)*+\z"}
+
+
 def decoded(body: Column, charset: Column) -> Column:
     """Bytes as text by a canonical charset. A byte-order mark overrides it and goes; null and unknown charsets are UTF-8; what isn't valid becomes replacement characters.
 
-    UTF-8 stays inside Spark: only bodies in other encodings are sent to Python.
+    UTF-8, windows-1252 and valid UTF-16 stay inside Spark, row by row: only bodies in other encodings are sent to Python.
     """
-    marked = F.hex(F.substring(body, 1, 2)).isin("FEFF", "FFFE")
-    other = F.coalesce(charset.isin(*CODECS), F.lit(False)) & (F.hex(F.substring(body, 1, 3)) != "EFBBBF") | marked
-    named = F.when(F.coalesce(charset.isin(*CODECS), F.lit(False)), charset).otherwise("utf-16le")
-    plain = F.regexp_replace(F.make_valid_utf8(body.cast("string")), "^\\x{FEFF}", "")
-    return F.when(other, _decoded(F.when(other, body), named)).otherwise(plain)
+    first = F.hex(F.substring(body, 1, 2))
+    known = F.coalesce(charset.isin(*CODECS), F.lit(False))
+    name = F.when(F.hex(F.substring(body, 1, 3)) == "EFBBBF", "utf-8").when(first == "FEFF", "utf-16be").when(first == "FFFE", "utf-16le").when(known, charset).otherwise("utf-8")
+    by_byte = F.decode(body, "ISO-8859-1")
+    valid = F.lit(False)
+    for wide, pairs in _PAIRS.items():
+        valid = F.when(name == wide, by_byte.rlike(pairs)).otherwise(valid)
+    how = F.when(name.isin("utf-8", "windows-1252"), name).when(F.coalesce(valid, F.lit(True)), name).otherwise("python")
+    # null where another encoding is meant, so that neither decoder nor Python sees bytes that aren't its own
+    own = lambda h, k: F.when(h == k, body)
+
+    def inside(h: Column) -> Column:
+        wide = F.coalesce(*[F.decode(own(h, k), k.upper()) for k in _PAIRS])
+        plain = F.make_valid_utf8(own(h, "utf-8").cast("string"))
+        narrow = F.translate(F.decode(own(h, "windows-1252"), "ISO-8859-1"), _C1, _WINDOWS)
+        return F.coalesce(narrow, F.regexp_replace(F.coalesce(wide, plain), "^\\x{FEFF}", ""))
+
+    text = F.element_at(F.transform(F.array(how), inside), 1)
+    return F.coalesce(text, _decoded(own(how, "python"), F.when(how == "python", F.when(known, charset).otherwise("utf-16le"))))

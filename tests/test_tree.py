@@ -263,3 +263,24 @@ def test_blocks_of_markdown_are_made_once(spark):
     made = tree.markdown(pages)
     assert r"(?U)\s+" not in _plan(made)
     assert {r["page_id"]: r["markdown"] for r in made.collect()} == {1: "a ***~~b~~*** `` x `y` `` [`e`](http://h/c_\\(d\\)) z\n\n| h | `p\\|q` |\n| --- | --- |", 2: "", 3: ""}
+
+
+def test_common_encodings_stay_inside_spark(spark):
+    import pandas as pd
+
+    from siltweb.functions import charsets
+
+    rng = random.Random(5)
+    odd = [b"", b"a", b"\xff\xfe", b"\xfe\xff", b"\xff\xfea\x00\x3d\xd8\x00\xde", b"\xfe\xff\xd8\x3d\xde\x00", b"\x3d\xd8", b"\x00\xde\x3d\xd8", b"\xfe\xff\xff\xfe", b"\xff\xfe\xff\xfe", b"\xff\xfe\xfe\xff", b"a\x00\xfe\xff", b"\x00a\xff\xfe", b"a\x00b", bytes(range(256)), "ßØ é \U0001f600".encode("utf-16-le") * 40_000, b"\xef\xbb\xbfx\xff", None]
+    odd += [bytes(rng.choice([0, 10, 0x61, 0x80, 0x9D, 0xD8, 0xDC, 0xDF, 0xE9, 0xFE, 0xFF]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    names = ["utf-16le", "utf-16be", "windows-1252", "koi8-r", "shift_jis", None]
+    rows = [(k, None if b is None else bytearray(b), c) for k, (b, c) in enumerate((b, c) for b in odd for c in names)]
+    df = spark.createDataFrame(rows, "k int, body binary, charset string")
+    got = {r["k"]: r["text"] for r in df.select("k", charsets.decoded(F.col("body"), F.col("charset")).alias("text")).collect()}
+    python = charsets._decoded.func
+    for k, body, charset in rows:
+        utf8 = body is not None and (body[:3] == b"\xef\xbb\xbf" or charset is None and body[:2] not in (b"\xfe\xff", b"\xff\xfe"))
+        if not utf8:
+            assert got[k] == python(pd.Series([body]), pd.Series([charset or "utf-16le"]))[0], (body, charset)
+    plan = df.select(charsets.decoded(F.col("body"), F.col("charset")))
+    assert "UTF-16LE" in _plan(plan) and "UTF-16BE" in _plan(plan)
