@@ -94,19 +94,26 @@ class WeightedSampler:
     def sample(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit value for each sample, of the chosen shingle and its level."""
         log_w = np.log(weights).astype(np.float32)
-        best = np.full(len(self.odd), np.inf, np.float32)
-        out = np.zeros(len(self.odd), np.uint64)
+        n = len(self.odd)
+        best, out, row = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64), np.arange(n)
         for at in range(0, len(keys), 2048):
             key, lw = keys[at : at + 2048], log_w[at : at + 2048]
             z = key[None, :] * self.odd[:, None]
             z ^= z >> np.uint64(29)
             z *= np.uint64(0xBF58476D1CE4E5B9)
-            r = self.gamma[(z >> np.uint64(48)).astype(np.uint16)]
-            beta = ((z >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
-            level = np.floor(lw / r + beta)
-            log_a = self.log_gamma[((z >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)] - r * (level - beta + 1)
+            # 16 bits each, the lowest first
+            bits = z.astype("<u8", copy=False).view("<u2").reshape(n, -1, 4)
+            r = self.gamma.take(bits[:, :, 3])
+            beta = bits[:, :, 1].astype(np.float32)
+            beta *= np.float32(1 / 65536)
+            level = lw / r
+            level += beta
+            np.floor(level, out=level)
+            log_a, step = self.log_gamma.take(bits[:, :, 2]), level - beta
+            step += np.float32(1)
+            step *= r
+            log_a -= step
             k = log_a.argmin(1)
-            row = np.arange(len(k))
             low = log_a[row, k]
             value = key[k] ^ (level[row, k].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             out = np.where(low < best, value, out)
@@ -277,6 +284,18 @@ def _two_sides(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[int, n
             yield a, left, right, first[a] == second[a]
 
 
+def _shared(place: np.ndarray, owner: np.ndarray, root: np.ndarray, rows: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What each of rows ``x`` has in common with each of ``y``: matrix products over slices of the elements, which are sorted by ``place``. A slice is no wider than the elements that there are, as most meetings are of a few texts."""
+    elements = int(place[-1]) + 1 if len(place) else 0
+    both, width = np.zeros((len(x), len(y))), min(elements, max(64, (1 << 22) // rows))
+    for at in range(0, elements, max(1, width)):
+        p, q = np.searchsorted(place, (at, at + width))
+        piece = np.zeros((rows, width))
+        piece[owner[p:q], place[p:q] - at] = root[p:q]
+        both += piece[x] @ piece[y].T
+    return both
+
+
 def _likely_between(members: DataFrame, how: NearDup) -> DataFrame:
     """``a, b``: members of a bucket that are in different classes and groups, where neither samples nor weights turn the pair away.
 
@@ -329,12 +348,7 @@ def _similar_within(members: DataFrame, texts: DataFrame, idf, how: NearDup) ->
             order = np.argsort(place, kind="stable")
             place, owner, root = place[order], who[shared][order], np.sqrt(weights[shared][order])
             x, y = np.searchsorted(rows, left), np.searchsorted(rows, right)
-            both, width = np.zeros((len(left), len(right))), max(64, (1 << 22) // len(rows))
-            for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
-                p, q = np.searchsorted(place, (at, at + width))
-                piece = np.zeros((len(rows), width))
-                piece[owner[p:q], place[p:q] - at] = root[p:q]
-                both += piece[x] @ piece[y].T
+            both = _shared(place, owner, root, len(rows), x, y)
             similar = both >= (how.similarity - 1e-9) * (total[x][:, None] + total[y] - both)
             u, v = np.nonzero(similar & (part[left][:, None] != part[right]))
             u, v = left[u], right[v]

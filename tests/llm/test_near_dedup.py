@@ -152,3 +152,21 @@ def test_ids_that_are_null_or_repeat(spark):
     rows = [(None, long), (None, long + " more"), (5, "one text"), (5, "quite another text"), (9, "one text")]
     got = sorted(((r["doc_id"], r["class_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == [(5, 5), (5, 5), (9, 5), (None, None), (None, None)]
+
+
+def test_a_meeting_of_few_texts_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    place, owner = np.repeat(np.arange(40), 2), np.tile([0, 1], 40)
+    root = rng.random(80)
+    tracemalloc.start()
+    both = N._shared(place, owner, root, 2, np.array([0]), np.array([1]))
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000  # a slice of full width has 32 MB
+    tracemalloc.stop()
+    assert np.allclose(both, (root[::2] * root[1::2]).sum())
+    assert N._shared(place[:0], owner[:0], root[:0], 2, np.array([0]), np.array([1])).tolist() == [[0.0]]
+    # more elements than a slice is wide
+    rows, many = 70_000, 200
+    wide = N._shared(np.repeat(np.arange(many), 2), np.tile([5, 9], many), np.ones(2 * many), rows, np.array([5]), np.array([9, 6]))
+    assert wide.tolist() == [[many, 0.0]]
