@@ -50,6 +50,38 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().lower().translate(_ENDS).replace(b".", b" . ").split()
 
 
+def encode(text: DataFrame, how: Settings) -> DataFrame:
+    """``lang, shard, names, ids``: the words of some texts of ``lang, text`` at a time, each spelled once, and their numbers in order, 0 where a piece ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        total, row = 0, 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for (lang, shard), (number, parts) in held.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "shard": np.array([shard], np.int32), "names": pa.array([b" ".join(number)], pa.binary()), "ids": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                key, row = (lang, row % how.shards), row + 1
+                if key not in held:
+                    number = defaultdict()
+                    number.default_factory = number.__len__
+                    held[key] = (number, [])
+                    number[b"."]
+                number, parts = held[key]
+                words = split_words(text)
+                words.append(b".")
+                parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                total += len(words)
+                if total >= how.words_at_once:
+                    yield from packed()
+                    held, total = {}, 0
+        yield from packed()
+
+    return text.mapInArrow(run, "lang string, shard int, names binary, ids binary")
+
+
 def _turn(h: np.ndarray) -> np.ndarray:
     return (h << np.uint64(21)) | (h >> np.uint64(43))
 
@@ -61,7 +93,7 @@ def phrase_hash(lang: Column, phrase: Column) -> Column:
 
 
 def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) -> DataFrame:
-    """Counts of the phrases that are active at ``step``: ``lang, k, phrase, c, start``; ``k = 0``, the empty phrase, is the number of words.
+    """Counts of the phrases of encoded texts that are active at ``step``: ``lang, k, phrase, c, start``; ``k = 0``, the empty phrase, is the number of words.
 
     Words are active from step 0. A longer phrase is active from the step at which both parts that lack one end word had
     reached the threshold, as the packed ``slots`` say, for one full cycle. A task sums what it has seen of some million words by
@@ -110,17 +142,16 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
         total = 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, spelled, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "names", "ids"))):
                 if lang not in held:
                     number = defaultdict()
                     number.default_factory = number.__len__
                     held[lang] = (number, [])
-                    number[b"."]
                 number, parts = held[lang]
-                words = split_words(text)
-                words.append(b".")
-                parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                total += len(words)
+                names = spelled.split(b" ")
+                renumbered = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
+                parts.append(renumbered[np.frombuffer(packed, np.int32)])
+                total += len(parts[-1])
                 if total >= how.words_at_once:
                     for name, it in held.items():
                         yield from counted(name, *it, table)
@@ -139,7 +170,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """Phrases of up to ``longest`` words with at least ``least`` occurrences within pieces: ``lang, k, phrase, f``; ``k = 0`` has each language's number of words.
 
-    The corpus is written in ``shards`` shards, read in turn again and again. Each step counts all lengths that are active
+    The corpus is split into words and numbered once, and written in ``shards`` shards, read in turn again and again. Each step counts all lengths that are active
     at once: words in the first cycle; longer phrases as soon as both parts have reached the threshold in what was read so
     far. Counts are exact, as each phrase is counted over every shard once. Sums of a shard are keyed by the phrase and
     pre-aggregated, so no hot phrase is gathered. A phrase that has the threshold's share in no shard of its cycle can't be
@@ -149,17 +180,25 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     home = fresh_path(spark, "phrases")
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    text.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(how.shards))).write.partitionBy("shard").parquet(f"{home}/corpus")
-    corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{home}/corpus")
+    encode(text, how).write.partitionBy("shard").parquet(f"{home}/corpus")
+    corpus = spark.read.schema("lang string, names binary, ids binary, shard int").parquet(f"{home}/corpus")
     schema = "lang string, k int, phrase string, c long"
     counts = lambda: spark.read.schema("lang string, phrase string, c long, start int, heavy boolean, step int").parquet(f"{home}/counts")
-    slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, 0
+    # the last step at which phrases of each length reached slots
+    slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, [0] * how.longest
     length = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int")
     total = lambda df: df.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).select("lang", length.alias("k"), "phrase", "c")
-    # a phrase of k words starts k - 2 steps after the newest slot at the latest
-    while step < newest + max(0, how.longest - 2) + how.shards:
+
+    def last_start() -> int:
+        """A frequent phrase starts when its parts have reached their slots, or a step after these started, if the slots were reached before."""
+        start = newest[1] if how.longest > 1 else 0
+        for k in range(3, how.longest + 1):
+            start = max(newest[k - 1], start + 1)
+        return start
+
+    while step < last_start() + how.shards:
         shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
-        now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "text"), shared, step, how)
+        now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "names", "ids"), shared, step, how)
         sums = now.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("start").alias("start"))
         heavy = (F.col("c") * how.shards >= how.least) | (F.col("phrase") == "")
         sums.withColumn("heavy", heavy).write.parquet(f"{home}/counts/step={step}")
@@ -178,16 +217,16 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
         for found in reached:
             # slots of phrases that longer ones can be made of
             slot = F.shiftrightunsigned(phrase_hash(F.col("lang"), F.col("phrase")), 64 - how.bits)
-            grown = found.where(F.col("k").between(1, how.longest - 1)).select(slot.alias("slot"))
-            bitmaps = grown.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+            grown = found.where(F.col("k").between(1, how.longest - 1)).select("k", slot.alias("slot"))
+            bitmaps = grown.groupBy("k", F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
             # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
-            for b, bits in bitmaps:
+            for k, b, bits in bitmaps:
                 at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
                 at = at[at < len(slots)] if b else np.zeros(1, np.int64)
-                new = at[slots[at] == NEVER]
+                new = at[slots[at] > step]
                 slots[new] = step + 1
                 if len(new):
-                    newest = step + 1
+                    newest[k] = step + 1
         if first >= 0:
             _remove(spark, f"{home}/counts/step={first}")  # all that started by then has had its cycle
         step += 1

@@ -82,3 +82,19 @@ def test_longer_phrases_start_late_and_run_one_cycle(spark):
 def test_no_words(spark):
     docs = spark.createDataFrame([(None, None), ("", "en"), (".", "en")], "text string, lang string")
     assert C.collocations(docs).collect() == [] == C.collocations(docs.limit(0)).collect()
+
+
+def test_texts_are_split_and_numbered_once(spark, monkeypatch):
+    import numpy as np
+
+    how, texts = C.Settings(least=3, shards=2, bits=16, words_at_once=7), ["A b. a c", "", ".", "b\tb;C d e f g h", "a"] * 4
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    got = []
+    for r in C.encode(docs, how).collect():
+        names = bytes(r["names"]).split(b" ")
+        got += [names[k] for k in np.frombuffer(r["ids"], np.int32)]
+    assert sorted(got) == sorted(w for t in texts for w in [*C.split_words(t), b"."])
+    step, given = C.count_step, []
+    monkeypatch.setattr(C, "count_step", lambda shard, *rest: given.append(shard.columns) or step(shard, *rest))
+    C.frequent_phrases(docs, how)
+    assert given and all(columns == ["lang", "names", "ids"] for columns in given)
