@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table
@@ -32,7 +32,7 @@ class Settings:
     longest: int = 4
     #: Shards of the cycle. A phrase is counted over as many shards from where it was activated, and then is done.
     shards: int = 3
-    #: Size of the table of activated phrases, ``2^bits`` bytes, whatever the corpus. Phrases that share a slot share its
+    #: Size of the table of activated phrases, ``2^bits`` bytes (40 bits at most), whatever the corpus. Phrases that share a slot share its
     #: step: some are then counted that needn't be, none is missed.
     bits: int = 24
     #: Words that a task counts before it hands its sums on.
@@ -86,56 +86,100 @@ def _turn(h: np.ndarray) -> np.ndarray:
     return (h << np.uint64(21)) | (h >> np.uint64(43))
 
 
-def phrase_hash(lang: Column, phrase: Column) -> Column:
-    """The hash that ``count_step`` makes of a phrase, word by word: turn by 21 bits, then exclusive or with the word's."""
-    turn = lambda h: F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43))
-    return F.aggregate(F.transform(F.split(phrase, " "), lambda w: F.xxhash64(w)), F.xxhash64(lang), lambda h, w: turn(h).bitwiseXOR(w))
+def _number(lang: str) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(lang.encode(), 42)], np.uint64)
+
+
+def _hashes(names: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names))
 
 
 def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) -> DataFrame:
-    """Counts of the phrases of encoded texts that are active at ``step``: ``lang, k, phrase, c, start``; ``k = 0``, the empty phrase, is the number of words.
+    """Counts of the phrases of encoded texts that are active at ``step``: ``k, start, hash, c``; ``k = 0``, the empty phrase, is the number of words.
 
     Words are active from step 0. A longer phrase is active from the step at which both parts that lack one end word had
-    reached the threshold, as the packed ``slots`` say, for one full cycle. A task sums what it has seen of some million words by
-    sorting numbers, exactly, and only then makes phrases of them.
+    reached the threshold, as the packed ``slots`` say, for one full cycle. A phrase is a hash of 64 bits here, made of its
+    language and then word by word: turn by 21 bits, exclusive or with the word's. A task sums what it has seen of some
+    million words by sorting these. Phrases that share a hash share a count, so none is counted too low.
     """
+    shift = np.uint64(64 - how.bits)
 
-    def counted(lang: str, number: dict[bytes, int], parts: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate(parts)
-        names = list(number)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names))
-        shift = np.uint64(64 - how.bits)
+    def frame(k: int, start: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        n = len(h)
+        return pa.RecordBatch.from_pydict({"k": np.full(n, k, np.int32), "start": np.full(n, start, np.int32), "hash": h.view(np.int64), "c": c.astype(np.int64)})
 
-        def frame(k: int, phrases: list[bytes], c: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-            n = len(phrases)
-            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "k": np.full(n, k, np.int32), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "c": c.astype(np.int64), "start": start.astype(np.int32)})
+    def summed(k: int, start: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(h):
+            h = np.sort(h)
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            yield frame(k, start, h[at], np.diff(at, append=len(h)))
 
+    def counted(lang: str, words: np.ndarray, ends: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        empty = _number(lang)
+        h = _turn(empty) ^ words
         if step < how.shards:
-            c = np.bincount(ids, minlength=len(names))
-            yield frame(0, [b""], np.array([c[1:].sum()]), np.zeros(1))
-            yield frame(1, names[1:], c[1:], np.zeros(len(names) - 1))
-        # at each place: the phrase of k words that starts there, its number among those met, its step of activation
-        h = _turn(np.full(len(ids), xxhash.xxh64_intdigest(lang.encode(), 42), np.uint64)) ^ hashes[ids]
-        seen, spelled = ids, names
-        reached = np.where(ids > 0, table[h >> shift], NEVER).astype(np.int16)
+            yield frame(0, 0, empty, np.array([len(ends) - ends.sum()]))
+            yield from summed(1, 0, h[~ends])
+        # at each place: the step at which the phrase of k words that starts there was activated
+        reached = np.where(ends, NEVER, table[h >> shift]).astype(np.int16)
         for k in range(2, how.longest + 1):
             start = np.maximum(reached[:-1], reached[1:])
-            on = np.flatnonzero((start <= step) & (step < start + how.shards))
+            h = _turn(h[:-1]) ^ words[k - 1 :]
+            for s in range(max(1, step - how.shards + 1), step + 1):
+                yield from summed(k, s, h[start == s])
+            if k < how.longest:
+                # reached at the earliest a step after the start
+                reached = np.where(start < step, np.maximum(table[h >> shift], start + 1), NEVER).astype(np.int16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(slots.value), np.uint8)
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        total = 0
+        flush = lambda: (b for lang, it in held.items() for b in counted(lang, *map(np.concatenate, zip(*it)), table))
+        for batch in batches:
+            for lang, spelled, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "names", "ids"))):
+                ids = np.frombuffer(packed, np.int32)
+                held[lang].append((_hashes(spelled.split(b" "))[ids], ids == 0))
+                total += len(ids)
+                if total >= how.words_at_once:
+                    yield from flush()
+                    held.clear()
+                    total = 0
+        yield from flush()
+
+    return shard.mapInArrow(run, "k int, start int, hash long, c long")
+
+
+def spell(corpus: DataFrame, slots: Broadcast, how: Settings) -> DataFrame:
+    """Exact counts of the phrases whose slots were reached, and whose parts' were, with their words: ``lang, k, phrase, c``; ``k = 0``, the empty phrase, is the number of words."""
+    shift = np.uint64(64 - how.bits)
+
+    def counted(lang: str, number: dict[bytes, int], parts: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, names = np.concatenate(parts), list(number)
+        words = _hashes(names)[ids]
+
+        def frame(k: int, phrases: list[bytes], c: np.ndarray) -> pa.RecordBatch:
+            n = len(phrases)
+            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "k": np.full(n, k, np.int32), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "c": c.astype(np.int64)})
+
+        yield frame(0, [b""], np.array([np.count_nonzero(ids)]))
+        h = _turn(_number(lang)) ^ words
+        on = (ids > 0) & (table[h >> shift] != NEVER)
+        c = np.bincount(ids[on], minlength=len(names))
+        met = np.flatnonzero(c)
+        yield frame(1, [names[w] for w in met.tolist()], c[met])
+        # at each place that is on: the number of the phrase of k words that starts there, among those spelled
+        seen, spelled = ids, names
+        for k in range(2, how.longest + 1):
             last = ids[k - 1 :]
-            if len(on):
-                key, at, c = np.unique(seen[on] * len(names) + last[on], return_index=True, return_counts=True)
-                phrases = [spelled[a] + b" " + names[b] for a, b in zip((key // len(names)).tolist(), (key % len(names)).tolist())]
-                yield frame(k, phrases, c, start[on[at]])
-            if k == how.longest:
-                break
-            # phrases that have reached the threshold, at the earliest a step after their start, are numbered anew for the next length
-            h = _turn(h[:-1]) ^ hashes[last]
-            reached = np.where(start < step, np.maximum(table[h >> shift], start + 1), NEVER).astype(np.int16)
-            going = np.flatnonzero(reached <= step)
-            key, where = np.unique(seen[going] * len(names) + last[going], return_inverse=True)
+            h = _turn(h[:-1]) ^ words[k - 1 :]
+            on = on[:-1] & on[1:] & (table[h >> shift] != NEVER)
+            at = np.flatnonzero(on)
+            key, where, c = np.unique(seen[at] * np.int64(len(names)) + last[at], return_inverse=True, return_counts=True)
             spelled = [spelled[a] + b" " + names[b] for a, b in zip((key // len(names)).tolist(), (key % len(names)).tolist())]
+            yield frame(k, spelled, c)
             seen = np.zeros(len(last), np.int64)
-            seen[going] = where
+            seen[at] = where
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(slots.value), np.uint8)
@@ -159,7 +203,7 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
         for name, it in held.items():
             yield from counted(name, *it, table)
 
-    return shard.mapInArrow(run, "lang string, k int, phrase string, c long, start int")
+    return corpus.mapInArrow(run, "lang string, k int, phrase string, c long")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -170,24 +214,27 @@ def _remove(spark: SparkSession, path: str) -> None:
 def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """Phrases of up to ``longest`` words with at least ``least`` occurrences within pieces: ``lang, k, phrase, f``; ``k = 0`` has each language's number of words.
 
-    The corpus is split into words and numbered once, and written in ``shards`` shards, read in turn again and again. Each step counts all lengths that are active
-    at once: words in the first cycle; longer phrases as soon as both parts have reached the threshold in what was read so
-    far. Counts are exact, as each phrase is counted over every shard once. Sums of a shard are keyed by the phrase and
-    pre-aggregated, so no hot phrase is gathered. A phrase that has the threshold's share in no shard of its cycle can't be
-    frequent, so only the others are summed over shards. The driver gets which of the ``2^bits`` slots were reached, as bitmaps;
-    it ends when no phrase can still be active.
+    The corpus is split into words and numbered once, and written in ``shards`` shards, read in turn again and again. Each
+    step counts all lengths that are active at once: words in the first cycle; longer phrases as soon as both parts have
+    reached the threshold in what was read so far. Scans count hashes, pre-aggregated, so no hot phrase is gathered. A
+    phrase that has the threshold's share in no shard of its cycle can't be frequent, so a step leaves only those that
+    have it; where a phrase hasn't, it is taken to have all that it can have without. The driver gets which of the
+    ``2^bits`` slots were reached, as bitmaps; it ends when no phrase can still be active. No frequent phrase's slot is
+    missed by then, and a last scan of all shards counts what is in these slots by its words, exactly.
     """
     spark = docs.sparkSession
     home = fresh_path(spark, "phrases")
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     encode(text, how).write.partitionBy("shard").parquet(f"{home}/corpus")
     corpus = spark.read.schema("lang string, names binary, ids binary, shard int").parquet(f"{home}/corpus")
-    schema = "lang string, k int, phrase string, c long"
-    counts = lambda: spark.read.schema("lang string, phrase string, c long, start int, heavy boolean, step int").parquet(f"{home}/counts")
+    counts = lambda: spark.read.schema("key long, c long, step int").parquet(f"{home}/counts")
+    # one number for the shuffle: the first 40 bits of the hash, then start and length; fewer bits to tell phrases apart only make counts higher
+    key = F.col("hash").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 8)).bitwiseOR(F.col("k").cast("long"))
+    start_of, k_of = F.shiftright("key", 8).bitwiseAND(F.lit(255)), F.col("key").bitwiseAND(F.lit(255)).cast("int")
     # the last step at which phrases of each length reached slots
-    slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, [0] * how.longest
-    length = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int")
-    total = lambda df: df.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).select("lang", length.alias("k"), "phrase", "c")
+    slots, step, newest = np.full(1 << how.bits, NEVER, np.uint8), 0, [0] * (how.longest + 1)
+    # the most that a phrase can have in a shard without the threshold's share
+    light = (how.least - 1) // how.shards
 
     def last_start() -> int:
         """A frequent phrase starts when its parts have reached their slots, or a step after these started, if the slots were reached before."""
@@ -199,41 +246,34 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     while step < last_start() + how.shards:
         shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
         now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "names", "ids"), shared, step, how)
-        sums = now.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("start").alias("start"))
-        heavy = (F.col("c") * how.shards >= how.least) | (F.col("phrase") == "")
-        sums.withColumn("heavy", heavy).write.parquet(f"{home}/counts/step={step}")
+        sums = now.where("k > 0").groupBy(key.alias("key")).agg(F.sum("c").alias("c"))
+        sums.where(F.col("c") > light).write.parquet(f"{home}/counts/step={step}")
         shared.destroy()
-        # what a frequent phrase has in one shard of its cycle at least: only such phrases are summed up
-        reached = [total(counts().where("heavy")).where(F.col("c") >= how.least)]
         first = step - how.shards + 1
-        if first >= 0:
-            cycle = counts().where((F.col("step") >= first) & (F.col("start") == first))
-            keys = cycle.where("heavy").select("lang", "phrase").distinct()
-            size = keys.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 32)).first()[0] or 0
-            light = cycle.where("not heavy").join(F.broadcast(keys) if size <= how.broadcast_bytes else keys, ["lang", "phrase"], "left_semi")
-            full = total(cycle.where("heavy").select("lang", "phrase", "c").unionByName(light.select("lang", "phrase", "c")))
-            full.where((F.col("c") >= how.least) | (F.col("k") == 0)).write.parquet(f"{home}/done/cycle={first}")
-            reached.append(spark.read.schema(schema).parquet(f"{home}/done/cycle={first}"))
-        for found in reached:
-            # slots of phrases that longer ones can be made of
-            slot = F.shiftrightunsigned(phrase_hash(F.col("lang"), F.col("phrase")), 64 - how.bits)
-            grown = found.where(F.col("k").between(1, how.longest - 1)).select("k", slot.alias("slot"))
-            bitmaps = grown.groupBy("k", F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-            # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
-            for k, b, bits in bitmaps:
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
-                at = at[at < len(slots)] if b else np.zeros(1, np.int64)
-                new = at[slots[at] > step]
-                slots[new] = step + 1
-                if len(new):
-                    newest[k] = step + 1
+        found = counts().groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("shards"))
+        most = F.col("c") + (how.shards - F.col("shards")) * light
+        slot = F.shiftrightunsigned("key", 64 - how.bits)
+        reached = found.where((F.col("c") >= how.least) | (start_of == first) & (most >= how.least)).select(k_of.alias("k"), slot.alias("slot"))
+        bitmaps = reached.groupBy("k", F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+        # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
+        for k, b, bits in bitmaps:
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
+            at = at[at < len(slots)] if b else np.zeros(1, np.int64)
+            new = at[slots[at] > step]
+            slots[new] = step + 1
+            if len(new):
+                newest[k] = step + 1
         if first >= 0:
             _remove(spark, f"{home}/counts/step={first}")  # all that started by then has had its cycle
         step += 1
         if step >= NEVER:
             raise RuntimeError("more steps than four cycles can take")
+    shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
+    exact = spell(corpus.select("lang", "names", "ids"), shared, how).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
+    exact.where((F.col("f") >= how.least) | (F.col("k") == 0)).write.parquet(f"{home}/done")
+    shared.destroy()
     _remove(spark, f"{home}/corpus")
-    return spark.read.schema(schema).parquet(f"{home}/done").select("lang", "k", "phrase", F.col("c").alias("f"))
+    return spark.read.schema("lang string, k int, phrase string, f long").parquet(f"{home}/done")
 
 
 def collocations(docs: DataFrame, how: Settings = Settings()) -> DataFrame:

@@ -98,3 +98,17 @@ def test_texts_are_split_and_numbered_once(spark, monkeypatch):
     monkeypatch.setattr(C, "count_step", lambda shard, *rest: given.append(shard.columns) or step(shard, *rest))
     C.frequent_phrases(docs, how)
     assert given and all(columns == ["lang", "names", "ids"] for columns in given)
+
+
+def test_scans_shuffle_numbers_and_words_are_spelled_once(spark, monkeypatch):
+    how = C.Settings(least=6, shards=3, bits=20)
+    # occurrences by shard: a phrase just frequent, one that might have been by its shares, one that can't be
+    shares = {"p q": (4, 1, 1), "t u": (3, 2, 0), "r s": (2, 1, 1)}
+    texts = [".".join(phrase for phrase, n in shares.items() for _ in range(n[shard])) for shard in range(3)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    step, spell, scans, spelled = C.count_step, C.spell, [], []
+    monkeypatch.setattr(C, "count_step", lambda *a: scans.append(step(*a)) or scans[-1])
+    monkeypatch.setattr(C, "spell", lambda *a: spelled.append(a[0].columns) or spell(*a))
+    got = {(r["k"], r["phrase"], r["f"]) for r in C.frequent_phrases(docs, how).collect()}
+    assert got == {(0, "", 30), (1, "p", 6), (1, "q", 6), (2, "p q", 6)}
+    assert scans and all(t in ("int", "bigint") for df in scans for _, t in df.dtypes) and len(spelled) == 1
