@@ -257,6 +257,22 @@ def test_first_texts_parse_pages_once(spark):
     assert sorted(tuple(r)[::2] for r in tree.find_text(pages, "div.x").collect()) == [(1, "1 2"), (4, "")]
 
 
+def test_first_headings_are_settled_early_as_in_whole_trees(spark, monkeypatch):
+    from siltweb.operators import construct
+
+    rng, rows = random.Random(7), list(ODD)
+    tags = "h1 h1 h2 table tr td caption b a p div form select template svg button li script nobr".split()
+    for k in range(1500):
+        rows.append((k + 10, "http://h/", "".join(rng.choice([f"<{t}>", f"<{t}>", f"</{t}>", f"x{i}\n "]) for i in range(rng.randrange(25)) for t in [rng.choice(tags)])))
+    rows += [(5, "http://h/", "<table><tr><td><h1>in</h1></td></tr><h1>before</h1></table>"), (6, "http://h/", "<H1>A</H1>" + "<h1>b</h1>" * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r["page_id"], r["text"]) for r in tree.find_text(pages, "h1", True).collect())
+    monkeypatch.setattr(tree, "find_text", None)  # no rows of whole pages for a heading
+    got = sorted(map(tuple, tree.first_text(pages, "h1").collect()))
+    assert got == want and (5, "before") in got and (6, "A") in got and len(got) > 300
+    assert len([c for c in construct.build(rows[-1][2], "h1").children[1].children]) == 1
+
+
 def test_blocks_of_markdown_are_made_once(spark):
     html = "<p>a <b><i><s>b</s></i></b> <code>x `y`</code> <a href='/c_(d)'><code>e</code></a> z<table><tr><th>h<td><code>p|q</code></table><p> </p>"
     pages = spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", None), (3, "http://h/", "")], "page_id long, url string, html string")
