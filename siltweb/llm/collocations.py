@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -211,6 +212,18 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them; else those of all scans would wait for the driver's garbage collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """Phrases of up to ``longest`` words with at least ``least`` occurrences within pieces: ``lang, k, phrase, f``; ``k = 0`` has each language's number of words.
 
@@ -285,7 +298,8 @@ def collocations(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     Repeated rows count each time. Tables without words give no rows; other columns are left out.
     """
     spark = docs.sparkSession
-    found = frequent_phrases(docs.select("lang", "text"), how)
+    with _shuffles_released(spark):
+        found = frequent_phrases(docs.select("lang", "text"), how)
     longer = found.where("k >= 2")
     words = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda k: F.struct(k.alias("cut"), F.array_join(F.slice(words, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(words, k + 1, F.col("k") - k), " ").alias("rest")))
