@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,6 +39,12 @@ class Settings:
     bits: int = 24
     #: Words that a task counts before it hands its sums on.
     words_at_once: int = 1_500_000
+    #: Bytes of the encoded corpus that a task of a scan, and of the last one, reads, about. Each task sums up what it has seen: larger ones
+    #: shuffle less, and hold more.
+    scan_bytes: int = 6_000_000
+    last_bytes: int = 16_000_000
+    #: Sums that a task of the last scan shuffles at a time, about; past that the scan is made in several turns.
+    sums_at_once: int = 1_500_000
     #: A candidate goes if a longer one that holds it has this percentage of its count.
     covered: int = 80
     #: Rows of each language.
@@ -151,31 +158,36 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
     return shard.mapInArrow(run, "k int, start int, hash long, c long")
 
 
-def spell(corpus: DataFrame, slots: Broadcast, how: Settings) -> DataFrame:
-    """Exact counts of the phrases whose slots were reached, and whose parts' were, with their words: ``lang, k, phrase, c``; ``k = 0``, the empty phrase, is the number of words."""
+def spell(corpus: DataFrame, slots: Broadcast, how: Settings, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Exact counts of the phrases whose slots were reached, and whose parts' were, with their words: ``lang, k, phrase, c``; ``k = 0``, the empty phrase, is the number of words.
+
+    Of several turns each has the phrases of other first words; the empty phrase is in turn 0.
+    """
     shift = np.uint64(64 - how.bits)
 
     def counted(lang: str, number: dict[bytes, int], parts: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, names = np.concatenate(parts), list(number)
-        words = _hashes(names)[ids]
+        of_names = _hashes(names)
+        words, mine = of_names[ids], (of_names % np.uint64(turns) == turn)[ids]
 
         def frame(k: int, phrases: list[bytes], c: np.ndarray) -> pa.RecordBatch:
             n = len(phrases)
             return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "k": np.full(n, k, np.int32), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "c": c.astype(np.int64)})
 
-        yield frame(0, [b""], np.array([np.count_nonzero(ids)]))
+        if turn == 0:
+            yield frame(0, [b""], np.array([np.count_nonzero(ids)]))
         h = _turn(_number(lang)) ^ words
         on = (ids > 0) & (table[h >> shift] != NEVER)
-        c = np.bincount(ids[on], minlength=len(names))
+        c = np.bincount(ids[on & mine], minlength=len(names))
         met = np.flatnonzero(c)
         yield frame(1, [names[w] for w in met.tolist()], c[met])
-        # at each place that is on: the number of the phrase of k words that starts there, among those spelled
+        # at each place that is on and of this turn: the number of the phrase of k words that starts there, among those spelled
         seen, spelled = ids, names
         for k in range(2, how.longest + 1):
             last = ids[k - 1 :]
             h = _turn(h[:-1]) ^ words[k - 1 :]
             on = on[:-1] & on[1:] & (table[h >> shift] != NEVER)
-            at = np.flatnonzero(on)
+            at = np.flatnonzero(on & mine[: len(on)])
             key, where, c = np.unique(seen[at] * np.int64(len(names)) + last[at], return_inverse=True, return_counts=True)
             spelled = [spelled[a] + b" " + names[b] for a, b in zip((key // len(names)).tolist(), (key % len(names)).tolist())]
             yield frame(k, spelled, c)
@@ -212,6 +224,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 @contextmanager
 def _shuffles_released(spark: SparkSession) -> Iterator[None]:
     """Shuffle files go with the query that wrote them; else those of all scans would wait for the driver's garbage collection."""
@@ -233,14 +250,22 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     phrase that has the threshold's share in no shard of its cycle can't be frequent, so a step leaves only those that
     have it; where a phrase hasn't, it is taken to have all that it can have without. The driver gets which of the
     ``2^bits`` slots were reached, as bitmaps; it ends when no phrase can still be active. No frequent phrase's slot is
-    missed by then, and a last scan of all shards counts what is in these slots by its words, exactly.
+    missed by then, and a last scan of all shards counts what is in these slots by its words, exactly. How much that shuffles
+    is known from the counts before; if it is more than ``sums_at_once`` a task, it is made in turns, each for the
+    phrases of other first words, and the shuffle files of one go before the next.
     """
     spark = docs.sparkSession
     home = fresh_path(spark, "phrases")
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    encode(text, how).write.partitionBy("shard").parquet(f"{home}/corpus")
+    encode(text, how).write.partitionBy("shard").option("compression", "zstd").parquet(f"{home}/corpus")
     corpus = spark.read.schema("lang string, names binary, ids binary, shard int").parquet(f"{home}/corpus")
     counts = lambda: spark.read.schema("key long, c long, step int").parquet(f"{home}/counts")
+    # tasks, so many that all cores are busy in each round of them
+    cores, size = spark.sparkContext.defaultParallelism, _bytes(spark, f"{home}/corpus")
+    scan_tasks = max(1, math.ceil(size / (how.shards * how.scan_bytes * cores))) * cores
+    last_tasks = max(1, math.ceil(size / (how.last_bytes * cores))) * cores
+    # sums of reached phrases that the last scan shuffles, a task's at most one of each; places where a longer one may start that only shares a slot
+    wanted, places = 0, 0
     # one number for the shuffle: the first 40 bits of the hash, then start and length; fewer bits to tell phrases apart only make counts higher
     key = F.col("hash").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 8)).bitwiseOR(F.col("k").cast("long"))
     start_of, k_of = F.shiftright("key", 8).bitwiseAND(F.lit(255)), F.col("key").bitwiseAND(F.lit(255)).cast("int")
@@ -258,7 +283,8 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
 
     while step < last_start() + how.shards:
         shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
-        now = count_step(corpus.where(F.col("shard") == step % how.shards).select("lang", "names", "ids"), shared, step, how)
+        shard = corpus.where(F.col("shard") == step % how.shards).select("lang", "names", "ids").coalesce(scan_tasks)
+        now = count_step(shard, shared, step, how)
         sums = now.where("k > 0").groupBy(key.alias("key")).agg(F.sum("c").alias("c"))
         sums.where(F.col("c") > light).write.parquet(f"{home}/counts/step={step}")
         shared.destroy()
@@ -266,10 +292,13 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
         found = counts().groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("shards"))
         most = F.col("c") + (how.shards - F.col("shards")) * light
         slot = F.shiftrightunsigned("key", 64 - how.bits)
-        reached = found.where((F.col("c") >= how.least) | (start_of == first) & (most >= how.least)).select(k_of.alias("k"), slot.alias("slot"))
-        bitmaps = reached.groupBy("k", F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+        reached = found.where((F.col("c") >= how.least) | (start_of == first) & (most >= how.least)).select(k_of.alias("k"), slot.alias("slot"), F.when(start_of == first, most).alias("done"))
+        sizes = (F.sum(F.least("done", F.lit(last_tasks))), F.sum("done"))
+        bitmaps = reached.groupBy("k", F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"), *(F.coalesce(n, F.lit(0)) for n in sizes)).collect()
         # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
-        for k, b, bits in bitmaps:
+        for k, b, bits, sent, met in bitmaps:
+            wanted += sent
+            places += met if k < how.longest else 0
             at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
             at = at[at < len(slots)] if b else np.zeros(1, np.int64)
             new = at[slots[at] > step]
@@ -282,8 +311,11 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
         if step >= NEVER:
             raise RuntimeError("more steps than four cycles can take")
     shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
-    exact = spell(corpus.select("lang", "names", "ids"), shared, how).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
-    exact.where((F.col("f") >= how.least) | (F.col("k") == 0)).write.parquet(f"{home}/done")
+    turns = max(1, math.ceil((wanted + np.mean(slots != NEVER) * places) / (last_tasks * how.sums_at_once)))
+    whole = corpus.select("lang", "names", "ids").coalesce(last_tasks)
+    for turn in range(turns):
+        exact = spell(whole, shared, how, turn, turns).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
+        exact.where((F.col("f") >= how.least) | (F.col("k") == 0)).write.mode("append").parquet(f"{home}/done")
     shared.destroy()
     _remove(spark, f"{home}/corpus")
     return spark.read.schema("lang string, k int, phrase string, f long").parquet(f"{home}/done")

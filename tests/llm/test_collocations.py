@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltweb.llm import collocations as C
 
@@ -112,3 +113,35 @@ def test_scans_shuffle_numbers_and_words_are_spelled_once(spark, monkeypatch):
     got = {(r["k"], r["phrase"], r["f"]) for r in C.frequent_phrases(docs, how).collect()}
     assert got == {(0, "", 30), (1, "p", 6), (1, "q", 6), (2, "p q", 6)}
     assert scans and all(t in ("int", "bigint") for df in scans for _, t in df.dtypes) and len(spelled) == 1
+
+
+def test_last_scan_goes_by_turns_of_bounded_sums(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "text string, lang string, rank long").repartition(4)
+    how = C.Settings(least=6, shards=3, bits=20, words_at_once=300, sums_at_once=60)
+    spell, turns, sums = C.spell, [], []
+
+    def seen(whole, *rest):
+        out = spell(whole, *rest)
+        turns.append({(r["lang"], r["phrase"]) for r in out.collect()})
+        sums.append(max(Counter(p for p, *_ in out.select(F.spark_partition_id(), "lang", "phrase").distinct().collect()).values(), default=0))
+        return out
+
+    monkeypatch.setattr(C, "spell", seen)
+    assert sorted(tuple(r) for r in C.collocations(docs, how).collect()) == plain(rows, how)
+    every = set().union(*turns)
+    assert len(turns) > 2 and sum(map(len, turns)) == len(every) and {("en", ""), ("de", "")} <= turns[0]
+    assert max(sums) < len(every) / 2
+
+
+def test_scans_read_files_in_few_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", f"w{k} a b c") for k in range(400)], "lang string, text string").repartition(40)
+    step, spell, parts = C.count_step, C.spell, []
+    monkeypatch.setattr(C, "count_step", lambda shard, *rest: parts.append(shard.rdd.getNumPartitions()) or step(shard, *rest))
+    monkeypatch.setattr(C, "spell", lambda whole, *rest: parts.append(whole.rdd.getNumPartitions()) or spell(whole, *rest))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert {r["phrase"]: r["f"] for r in C.frequent_phrases(docs).collect() if r["k"] == 3} == {"a b c": 400}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
