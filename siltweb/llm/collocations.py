@@ -264,7 +264,7 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     cores, size = spark.sparkContext.defaultParallelism, _bytes(spark, f"{home}/corpus")
     scan_tasks = max(1, math.ceil(size / (how.shards * how.scan_bytes * cores))) * cores
     last_tasks = max(1, math.ceil(size / (how.last_bytes * cores))) * cores
-    # sums of reached phrases that the last scan shuffles, a task's at most one of each; places where a longer one may start that only shares a slot
+    # sums of reached phrases that the last scan shuffles, a task's at most one of each; places of reached words that no reached phrase of full length starts at, where one may that only shares a slot
     wanted, places = 0, 0
     # one number for the shuffle: the first 40 bits of the hash, then start and length; fewer bits to tell phrases apart only make counts higher
     key = F.col("hash").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 8)).bitwiseOR(F.col("k").cast("long"))
@@ -298,7 +298,7 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
         # position 0 of bucket 1 is value 1; bucket 0 has value 0 only
         for k, b, bits, sent, met in bitmaps:
             wanted += sent
-            places += met if k < how.longest else 0
+            places += met * ((k == 1) - (k == how.longest))
             at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (b - 1) * 32768 + 1
             at = at[at < len(slots)] if b else np.zeros(1, np.int64)
             new = at[slots[at] > step]
@@ -311,7 +311,7 @@ def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
         if step >= NEVER:
             raise RuntimeError("more steps than four cycles can take")
     shared = spark.sparkContext.broadcast(zlib.compress(slots.tobytes(), 1))
-    turns = max(1, math.ceil((wanted + np.mean(slots != NEVER) * places) / (last_tasks * how.sums_at_once)))
+    turns = max(1, math.ceil((wanted + np.mean(slots != NEVER) * max(0, places)) / (last_tasks * how.sums_at_once)))
     whole = corpus.select("lang", "names", "ids").coalesce(last_tasks)
     for turn in range(turns):
         exact = spell(whole, shared, how, turn, turns).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
