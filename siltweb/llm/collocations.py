@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +40,10 @@ class Settings:
     bits: int = 24
     #: Words that a task counts before it hands its sums on.
     words_at_once: int = 1_500_000
+    #: Bytes of the batches that Spark hands to Python, about, and rows of those that it gets back at most: both are held twice or more on
+    #: either side, next to what a task counts.
+    batch_bytes: int = 4_000_000
+    batch_rows: int = 100_000
     #: Bytes of the encoded corpus that a task of a scan, and of the last one, reads, about. Each task sums up what it has seen: larger ones
     #: shuffle less, and hold more.
     scan_bytes: int = 6_000_000
@@ -102,6 +107,13 @@ def _hashes(names: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Language, names and numbers of each row. The numbers are those of the batch, not a copy."""
+    for batch in batches:
+        for lang, names, ids in zip(*(batch.column(c) for c in ("lang", "names", "ids"))):
+            yield lang.as_py(), names.as_py().split(b" "), np.frombuffer(ids.as_buffer(), np.int32)
+
+
 def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) -> DataFrame:
     """Counts of the phrases of encoded texts that are active at ``step``: ``k, start, hash, c``; ``k = 0``, the empty phrase, is the number of words.
 
@@ -117,10 +129,13 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
         return pa.RecordBatch.from_pydict({"k": np.full(n, k, np.int32), "start": np.full(n, start, np.int32), "hash": h.view(np.int64), "c": c.astype(np.int64)})
 
     def summed(k: int, start: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``h`` is sorted in place."""
         if len(h):
-            h = np.sort(h)
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            yield frame(k, start, h[at], np.diff(at, append=len(h)))
+            h.sort()
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+            for first in range(0, len(at) - 1, how.batch_rows):
+                some = at[first : first + how.batch_rows + 1]
+                yield frame(k, start, h[some[:-1]], np.diff(some))
 
     def counted(lang: str, words: np.ndarray, ends: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
         empty = _number(lang)
@@ -144,15 +159,13 @@ def count_step(shard: DataFrame, slots: Broadcast, step: int, how: Settings) ->
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         total = 0
         flush = lambda: (b for lang, it in held.items() for b in counted(lang, *map(np.concatenate, zip(*it)), table))
-        for batch in batches:
-            for lang, spelled, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "names", "ids"))):
-                ids = np.frombuffer(packed, np.int32)
-                held[lang].append((_hashes(spelled.split(b" "))[ids], ids == 0))
-                total += len(ids)
-                if total >= how.words_at_once:
-                    yield from flush()
-                    held.clear()
-                    total = 0
+        for lang, names, ids in _encoded(batches):
+            held[lang].append((_hashes(names)[ids], ids == 0))
+            total += len(ids)
+            if total >= how.words_at_once:
+                yield from flush()
+                held.clear()
+                total = 0
         yield from flush()
 
     return shard.mapInArrow(run, "k int, start int, hash long, c long")
@@ -166,53 +179,62 @@ def spell(corpus: DataFrame, slots: Broadcast, how: Settings, turn: int = 0, tur
     shift = np.uint64(64 - how.bits)
 
     def counted(lang: str, number: dict[bytes, int], parts: list[np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, names = np.concatenate(parts), list(number)
-        of_names = _hashes(names)
+        ids, of_names = np.concatenate(parts), _hashes(list(number))
+        names = pa.array(number, pa.binary()).cast(pa.string())
         words, mine = of_names[ids], (of_names % np.uint64(turns) == turn)[ids]
 
-        def frame(k: int, phrases: list[bytes], c: np.ndarray) -> pa.RecordBatch:
+        def frame(k: int, phrases: pa.Array, c: np.ndarray) -> pa.RecordBatch:
             n = len(phrases)
-            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "k": np.full(n, k, np.int32), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "c": c.astype(np.int64)})
+            return pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang, pa.string()), n), "k": np.full(n, k, np.int32), "phrase": phrases, "c": c.astype(np.int64)})
+
+        def spelled(k: int, at: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The phrases of k words at some places, spelled only as they are handed on."""
+            for first in range(0, len(at), how.batch_rows):
+                some = at[first : first + how.batch_rows]
+                yield frame(k, pc.binary_join_element_wise(*(names.take(pa.array(ids[some + i])) for i in range(k)), " "), c[first : first + how.batch_rows])
 
         if turn == 0:
-            yield frame(0, [b""], np.array([np.count_nonzero(ids)]))
+            yield frame(0, pa.array([""]), np.array([np.count_nonzero(ids)]))
         h = _turn(_number(lang)) ^ words
         on = (ids > 0) & (table[h >> shift] != NEVER)
-        c = np.bincount(ids[on & mine], minlength=len(names))
-        met = np.flatnonzero(c)
-        yield frame(1, [names[w] for w in met.tolist()], c[met])
-        # at each place that is on and of this turn: the number of the phrase of k words that starts there, among those spelled
-        seen, spelled = ids, names
-        for k in range(2, how.longest + 1):
-            last = ids[k - 1 :]
-            h = _turn(h[:-1]) ^ words[k - 1 :]
-            on = on[:-1] & on[1:] & (table[h >> shift] != NEVER)
-            at = np.flatnonzero(on & mine[: len(on)])
-            key, where, c = np.unique(seen[at] * np.int64(len(names)) + last[at], return_inverse=True, return_counts=True)
-            spelled = [spelled[a] + b" " + names[b] for a, b in zip((key // len(names)).tolist(), (key % len(names)).tolist())]
-            yield frame(k, spelled, c)
-            seen = np.zeros(len(last), np.int64)
-            seen[at] = where
+        # at each place that is on and of this turn: the number of the phrase of k words that starts there, among those counted
+        seen = ids
+        for k in range(1, how.longest + 1):
+            if k > 1:
+                h = _turn(h[:-1]) ^ words[k - 1 :]
+                on = on[:-1] & on[1:] & (table[h >> shift] != NEVER)
+            at = np.flatnonzero(on & mine[: len(on)]).astype(np.int32)
+            key = seen[at].astype(np.int64)
+            if k > 1:
+                key *= len(names)
+                key += ids[at + (k - 1)]
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+            del order
+            begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))).astype(np.int32)
+            del key
+            c, place = np.diff(begins, append=np.int32(len(at))), at[begins]
+            seen = np.zeros(len(on), np.int32)
+            seen[at] = np.repeat(np.arange(len(c), dtype=np.int32), c)
+            del at, begins
+            yield from spelled(k, place, c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(slots.value), np.uint8)
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
         total = 0
-        for batch in batches:
-            for lang, spelled, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "names", "ids"))):
-                if lang not in held:
-                    number = defaultdict()
-                    number.default_factory = number.__len__
-                    held[lang] = (number, [])
-                number, parts = held[lang]
-                names = spelled.split(b" ")
-                renumbered = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
-                parts.append(renumbered[np.frombuffer(packed, np.int32)])
-                total += len(parts[-1])
-                if total >= how.words_at_once:
-                    for name, it in held.items():
-                        yield from counted(name, *it, table)
-                    held, total = {}, 0
+        for lang, names, ids in _encoded(batches):
+            if lang not in held:
+                number = defaultdict()
+                number.default_factory = number.__len__
+                held[lang] = (number, [])
+            number, parts = held[lang]
+            parts.append(np.fromiter(map(number.__getitem__, names), np.int32, len(names))[ids])
+            total += len(ids)
+            if total >= how.words_at_once:
+                for name, it in held.items():
+                    yield from counted(name, *it, table)
+                held, total = {}, 0
         for name, it in held.items():
             yield from counted(name, *it, table)
 
@@ -230,15 +252,17 @@ def _bytes(spark: SparkSession, path: str) -> int:
 
 
 @contextmanager
-def _shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go with the query that wrote them; else those of all scans would wait for the driver's garbage collection."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _while_counting(spark: SparkSession, how: Settings) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them, else those of all scans would wait for the driver's garbage collection; Python gets batches of bounded bytes."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(how.batch_bytes)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def frequent_phrases(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
@@ -330,7 +354,7 @@ def collocations(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     Repeated rows count each time. Tables without words give no rows; other columns are left out.
     """
     spark = docs.sparkSession
-    with _shuffles_released(spark):
+    with _while_counting(spark, how):
         found = frequent_phrases(docs.select("lang", "text"), how)
     longer = found.where("k >= 2")
     words = F.split("phrase", " ")

@@ -145,3 +145,52 @@ def test_scans_read_files_in_few_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+
+
+def test_tasks_hold_little_beside_what_they_count():
+    import tracemalloc
+    import zlib
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    names = b" ".join([b".", *(b"word%d" % i for i in range(3000))])
+    ids = [draw.integers(0, 3001, 50_000).astype(np.int32) for _ in range(4)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 4, "names": pa.array([names] * 4, pa.binary()), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})
+    frame = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    slots = SimpleNamespace(value=zlib.compress(np.ones(1 << 16, np.uint8).tobytes()))
+    # occurrences of each length within pieces
+    on, places = np.concatenate(ids) > 0, {}
+    for k in range(2, 5):
+        places[k] = int(np.logical_and.reduce([on[j : len(on) - k + 1 + j] for j in range(k)]).sum())
+    for step in (lambda how: C.count_step(frame, slots, 3, how), lambda how: C.spell(frame, slots, how)):
+        how, sums, most = C.Settings(bits=16, batch_rows=10_000), Counter(), 0
+        tracemalloc.start()
+        for b in step(how)(iter([batch])):
+            most = max(most, len(b))
+            for k, c in zip(b.column("k").to_pylist(), b.column("c").to_pylist()):
+                sums[k] += c
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {k: sums[k] for k in places} == places
+        assert most <= how.batch_rows and peak / len(on) < 120  # bytes a word
+
+
+def test_python_gets_batches_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "text string, lang string, rank long").coalesce(1)
+    how = C.Settings(least=6, shards=3, bits=20, words_at_once=300, batch_bytes=3000)
+    before, spell, sizes = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), C.spell, []
+
+    def seen(whole, *rest):
+        sizes.extend(r["n"] for r in whole.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect())
+        return spell(whole, *rest)
+
+    monkeypatch.setattr(C, "spell", seen)
+    assert sorted(tuple(r) for r in C.collocations(docs, how).collect()) == plain(rows, how)
+    assert len(sizes) > 8 and max(sizes) < 6000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
